@@ -111,7 +111,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and n_chunks."""
     rows = cut(chunk_recipes(docs).withColumn("row", F.monotonically_increasing_id()))
     groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    several = groups.filter("group_size > 1")
+    several = cut(groups.filter("group_size > 1"))  # the join then has bare exchanges on both sides, and Spark can split a hot one
     # Only members of groups with several rows carry a right side; the left side of a hot group can be split.
     return rows.join(several, "recipe", "left").select(
         "doc_id",
