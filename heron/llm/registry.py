@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from heron.llm import exact_dedup, sharding
+from heron.llm import bpe, exact_dedup, fingerprints, language_id, sharding
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op7_sharding": sharding.op7_sharding,
+    "op8_bpe": bpe.op8_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.SQL}
