@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heron.tables import table
+
 #: White space of the word pattern [^\x20\x09-\x0D]+ ; bytes.split() without arguments splits on the same bytes.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,7 +20,7 @@ LOWER_LUT = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from heron.llm import bpe, exact_dedup, fingerprints, language_id, sharding
+from heron.llm import bpe, exact_dedup, fingerprints, language_id, packing, pii, sharding
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op3_language_id": language_id.op3_language_id,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_pii": pii.op6_pii,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
