@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from heron.llm import bpe, exact_dedup, fingerprints, language_id, packing, pii, sharding
+from heron.llm import bpe, exact_dedup, fingerprints, language_id, ngram_join, packing, pii, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_language_id": language_id.op3_language_id,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_pii": pii.op6_pii,
@@ -13,4 +14,4 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op2_ngram_jaccard": ngram_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
