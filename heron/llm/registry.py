@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heron.llm import bpe, exact_dedup, fingerprints, language_id, ngram_join, packing, pii, sharding
+from heron.llm import bpe, exact_dedup, fingerprints, language_id, ngram_join, packing, pii, repeats, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
+    "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {"op2_ngram_jaccard": ngram_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
