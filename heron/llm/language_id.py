@@ -185,7 +185,7 @@ def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFra
     """docs with columns __lang_pred and __lang_score."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType(docs.schema.fields).add("__lang_pred", StringType()).add("__lang_score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add("__lang_pred", StringType()).add("__lang_score", DoubleType())
     return docs.mapInArrow(_predictor(*_prepared(prototypes), True), schema)
 
 
