@@ -1,4 +1,8 @@
-"""Registry of the relational, retrieval and resolution queries with their SQL twins."""
+"""Registry of the relational, retrieval and resolution queries with their SQL twins.
+
+Every query is declarative: Catalyst picks join strategies, prunes columns and pushes filters to the scans. Doubles
+are rounded and counts cast the same way on both sides, and every limit has a total order.
+"""
 
 from __future__ import annotations
 
@@ -11,43 +15,37 @@ from heron.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Ids of the operator inventory that a query covers.
+COVERS: dict[str, str] = {}
 
 
-def sql_query(name: str, tables: tuple[str, ...], spark_sql: str, duck_sql: str | None = None) -> None:
-    """Register a query written in Spark SQL; {t} names the view of table t. Without duck_sql the text serves both engines."""
+def sql_query(name: str, covers: str, tables: str, text: str, duck: dict[str, str] | str | None = None) -> None:
+    """Register a query in SQL; {t} names table t. duck: the twin's text, or replacements that make it from the text."""
+    names = tables.split()
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(spark_sql, **{t: table(spark, sf_dir, t) for t in tables})
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in names})
 
+    twin = duck if isinstance(duck, str) else text
+    for old, new in (duck or {}).items() if isinstance(duck, dict) else ():
+        assert old in twin, (name, old)
+        twin = twin.replace(old, new)
     QUERIES[name] = run
-    ORACLE_SQL[name] = (duck_sql or spark_sql).format(**{t: t for t in tables})
-
-
-sql_query(
-    "latest_period_leaders",
-    ("orders", "customer", "lineitem"),
-    """
-    WITH latest AS (SELECT max(year(o_orderdate)) AS y FROM {orders}),
-    totals AS (
-      SELECT c.c_name AS entity, cast(l.y AS string) AS season, cast(count(DISTINCT o.o_orderkey) AS bigint) AS n_orders,
-             round(sum(i.l_extendedprice * (1 - i.l_discount)), 2) AS revenue
-      FROM {orders} o JOIN latest l ON year(o.o_orderdate) = l.y
-      JOIN {customer} c ON o.o_custkey = c.c_custkey
-      JOIN {lineitem} i ON i.l_orderkey = o.o_orderkey
-      GROUP BY c.c_name, l.y)
-    SELECT entity, season, n_orders, revenue, cast(rank() OVER (ORDER BY revenue DESC) AS bigint) AS place
-    FROM (SELECT * FROM totals ORDER BY revenue DESC, entity LIMIT 10) AS top
-    """,
-    """
-    WITH latest AS (SELECT max(year(o_orderdate)) AS y FROM {orders}),
-    totals AS (
-      SELECT c.c_name AS entity, cast(l.y AS varchar) AS season, cast(count(DISTINCT o.o_orderkey) AS bigint) AS n_orders,
-             round(sum(i.l_extendedprice * (1 - i.l_discount)), 2) AS revenue
-      FROM {orders} o JOIN latest l ON year(o.o_orderdate) = l.y
-      JOIN {customer} c ON o.o_custkey = c.c_custkey
-      JOIN {lineitem} i ON i.l_orderkey = o.o_orderkey
-      GROUP BY c.c_name, l.y)
-    SELECT entity, season, n_orders, revenue, cast(rank() OVER (ORDER BY revenue DESC) AS bigint) AS place
-    FROM (SELECT * FROM totals ORDER BY revenue DESC, entity LIMIT 10) AS top
-    """,
-)
+    ORACLE_SQL[name] = twin.format(**{t: t for t in names})
+    COVERS[name] = covers
+
+
+def query(name: str, covers: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query built with the DataFrame API, and its SQL twin if it has one."""
+
+    def add(run: Query) -> Query:
+        QUERIES[name] = run
+        COVERS[name] = covers
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return run
+
+    return add
+
+
+from heron.operators import knowledge, relational, resolution, retrieval  # noqa: E402,F401  each registers its queries
