@@ -1 +1,285 @@
-"""To come."""
+"""Retrieval over a knowledge base: dense and lexical ranking, fusion, expansion along foreign keys, cut-offs.
+
+Ranked lists are DataFrames (list_id, rank, key, score). A top-k per list is a window whose rank is filtered, which
+Spark cuts to k rows per list in every task before the shuffle. Query vectors and terms are a stated, bounded set.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from heron.functions.text import tokens
+from heron.functions.vectors import cosine, of_dimension, serialised
+from heron.operators.catalogue import query, sql_query
+from heron.tables import table
+
+RRF_K, PER_LIST, CANDIDATES, TOP_K = 60, 20, 10, 3
+ELBOW_DROP, EXPAND_TOP = 0.50, 2
+K1, B = 1.2, 0.75
+
+
+def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
+    w = Window.partitionBy(*groups).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def dense_rank_lists(vectors: DataFrame, queries: DataFrame, k: int = PER_LIST, groups: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest (key, embedding) rows for each query (list_id, probe), by cosine, then key; per group if given.
+
+    queries is a handful of vectors; it is broadcast only as such: at most 1,000 are allowed.
+    """
+    if queries.limit(1001).count() > 1000:
+        raise ValueError("more than 1,000 query vectors at once")
+    scored = vectors.filter(F.col("embedding").isNotNull()).crossJoin(F.broadcast(queries)).withColumn("cosine", cosine(F.col("embedding"), F.col("probe")))
+    scored = scored.select("list_id", "key", *groups, "cosine").filter(F.col("cosine").isNotNull())
+    return top_k(scored, ["list_id", *groups], [F.desc("cosine"), F.asc("key")], k)
+
+
+def equals(word: str):
+    return lambda x: x == word
+
+
+def bm25(docs: DataFrame, terms: list[str], k: int | None = PER_LIST) -> DataFrame:
+    """(key, score) of the documents (key, text) that hold any of the terms, by BM25."""
+    counted = docs.withColumn("t", tokens(F.coalesce("text", F.lit("")))).select("key", F.size("t").alias("dl"), *[F.size(F.filter("t", equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    scored = counted.filter(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    ranked = scored.select("key", score.alias("score"))
+    return ranked if k is None else ranked.orderBy(F.desc(F.round("score", 8)), "key").limit(k)
+
+
+def reciprocal_rank_fusion(lists: DataFrame, keys: list[str], k: int = RRF_K) -> DataFrame:
+    """Sum of 1 / (k + rank) over ranked lists (rank, cosine): rrf_score, best_cosine, and the first list and rank for ties."""
+    return lists.groupBy(*keys).agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf_score"), F.max(F.coalesce("cosine", F.lit(0.0))).alias("best_cosine"), F.min("list_id").alias("first_list"), F.min("rank").alias("first_rank"))
+
+
+def with_mandatory(fused: DataFrame, mandatory: DataFrame, top: int) -> DataFrame:
+    """The best `top` rows apart from the mandatory ones, then those, with scores of 0 where no list had them."""
+    free = fused.join(F.broadcast(mandatory), "key", "left_anti").orderBy(F.desc("rrf_score"), "key").limit(top).withColumn("mandatory", F.lit(False))
+    forced = mandatory.join(fused, "key", "left").select("key", F.coalesce("rrf_score", F.lit(0.0)).alias("rrf_score"), F.coalesce("best_cosine", F.lit(0.0)).alias("best_cosine"), F.lit(True).alias("mandatory"))
+    return free.select("key", "rrf_score", "best_cosine", "mandatory").unionByName(forced)
+
+
+def across_sections(fused: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """The best row of each key over all sections, then the k best."""
+    best = top_k(fused, ["key"], [F.desc("rrf_score"), F.asc("section")], 1, "__n").drop("__n")
+    return best.orderBy(F.desc("rrf_score"), "key").limit(k)
+
+
+def elbow(ranked: DataFrame, drop: float = ELBOW_DROP) -> DataFrame:
+    """Rows (rank, score, protected) before the first relative drop above `drop`; protected rows always stay.
+
+    ranked is a candidate list, cut before; its window has one partition.
+    """
+    w = Window.partitionBy(F.lit(1)).orderBy("rank")
+    free = ranked.filter(~F.col("protected")).withColumn("before", F.lag("score").over(w))
+    cut = free.filter((F.col("before") > 0) & ((F.col("before") - F.col("score")) / F.col("before") > drop)).agg(F.min("rank").alias("cut"))
+    return ranked.crossJoin(F.broadcast(cut)).filter(F.col("protected") | F.col("cut").isNull() | (F.col("rank") < F.col("cut"))).drop("cut")
+
+
+def references(store: DataFrame) -> DataFrame:
+    """(source, target, position) from metadata (fk_to, related_tables) and REFERENCES clauses of the content, first mention of each."""
+    listed = F.concat(F.transform(F.coalesce("fk_to", F.array()), lambda r: r["ref_table"]), F.coalesce("related_tables", F.array()))
+    found = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?i)REFERENCES\s+[`\"]?(\w+)[`\"]?\s*\("), F.lit(1))
+    every = store.select(F.col("name").alias("source"), F.posexplode(F.concat(listed, F.transform(found, F.lower))).alias("position", "target"))
+    return every.filter("target IS NOT NULL AND target <> ''").groupBy("source", "target").agg(F.min("position").alias("position"))
+
+
+def expand_foreign_keys(ranked: DataFrame, edges: DataFrame, store: DataFrame, top: int = EXPAND_TOP) -> DataFrame:
+    """ranked (rank, name, score) with rows that the first `top` refer to: protected if present, else appended with score 0.
+
+    Names are compared whole; a name that is only a part of another one's path doesn't count.
+    """
+    targets = ranked.filter(F.col("rank") <= top).join(edges, F.col("name") == F.col("source")).select(F.col("target").alias("name")).distinct()
+    present = ranked.join(targets.withColumn("protected", F.lit(True)), "name", "left").withColumn("protected", F.coalesce("protected", F.lit(False))).withColumn("expanded", F.lit(False))
+    added = targets.join(store.filter("NOT is_entry_point").select("name").distinct(), "name", "left_semi").join(ranked, "name", "left_anti")
+    appended = added.select("name", F.lit(None).cast("int").alias("rank"), F.lit(0.0).alias("score"), F.lit(True).alias("protected"), F.lit(True).alias("expanded"))
+    return present.select("name", "rank", "score", "protected", "expanded").unionByName(appended)
+
+
+def final_cut(rows: DataFrame, top: int = TOP_K) -> DataFrame:
+    """The best `top` rows that weren't expanded, and all that were."""
+    best = rows.filter("NOT expanded").orderBy("rank").limit(top)
+    return best.unionByName(rows.filter("expanded"))
+
+
+def rerank(candidates: DataFrame, question: str) -> DataFrame:
+    """candidates (name, text, rank) by the share of the question's words that they hold; ties keep their order."""
+    words = tokens(F.lit(question))
+    share = F.size(F.array_intersect(F.array_distinct(words), tokens(F.col("text")))) / F.greatest(F.lit(1), F.size(F.array_distinct(words)))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("relevance"), "rank")
+    return candidates.withColumn("relevance", score).withColumn("rank", F.row_number().over(w))
+
+
+def citation_label(score: Column) -> Column:
+    return F.when(score >= 0.75, "High").when(score >= 0.55, "Medium").when(score >= 0.35, "Low").otherwise("Very Low")
+
+
+def snippet(text: Column, most: int = 200) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+# ---- queries over the test tables
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", F.col("label").alias("section"))
+
+
+def _probes(vectors: DataFrame, ids: list[int]) -> DataFrame:
+    return vectors.filter(F.col("key").isin(ids)).select(F.col("key").alias("list_id"), F.col("embedding").alias("probe"))
+
+
+_COS = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
+
+
+@query("dense_topk", "RET1 FN20", f"SELECT e.vec_id, round({_COS}, 4) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_COS} DESC, e.vec_id LIMIT 20")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return dense_rank_lists(v, _probes(v, [0])).select(F.col("key").alias("vec_id"), F.round("cosine", 4).alias("cosine"))
+
+
+@query("threshold_topk", "RET2", f"SELECT e.vec_id, round({_COS}, 4) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND {_COS} >= 0.1 ORDER BY {_COS} DESC, e.vec_id LIMIT 20")
+def threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return dense_rank_lists(v, _probes(v, [0])).filter("cosine >= 0.1").select(F.col("key").alias("vec_id"), F.round("cosine", 4).alias("cosine"))
+
+
+_LISTS = f"""lists AS (SELECT * FROM (SELECT q.vec_id AS list_id, e.vec_id AS key, e.label AS section, {_COS} AS cosine,
+    row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 1, 2, 3)) WHERE rank <= 20),
+  fused AS (SELECT section, key, sum(1.0::double / (60 + rank)) AS rrf, max(cosine) AS best FROM lists GROUP BY section, key)"""
+
+
+@query("rrf_fusion", "RET4 RET8 RET15", f"WITH {_LISTS} SELECT section, key, round(rrf, 6) AS rrf_score, round(best, 4) AS best_cosine FROM fused")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    fused = reciprocal_rank_fusion(dense_rank_lists(v, _probes(v, [0, 1, 2, 3]), groups=("section",)), ["section", "key"])
+    return fused.select("section", "key", F.round("rrf_score", 6).alias("rrf_score"), F.round("best_cosine", 4).alias("best_cosine"))
+
+
+@query("cross_section_candidates", "RET8 RET9", f"WITH {_LISTS}, one AS (SELECT key, round(max(rrf), 9) AS rrf FROM fused GROUP BY key) SELECT key, round(rrf, 6) AS rrf_score FROM one ORDER BY rrf DESC, key LIMIT 10")
+def cross_section_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    fused = reciprocal_rank_fusion(dense_rank_lists(v, _probes(v, [0, 1, 2, 3]), groups=("section",)), ["section", "key"]).withColumn("rrf_score", F.round("rrf_score", 9))
+    return across_sections(fused).select("key", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+TERMS = ["the", "license", "ing", "released", "password"]
+_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+_BM25 = f"""d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT doc_id, len(t) AS dl, {", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(TERMS))} FROM d),
+  s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(TERMS)))} FROM c),
+  r AS (SELECT doc_id, {" + ".join(f"ln(1 + (n - df{i} + 0.5::double) / (df{i} + 0.5::double)) * tf{i} * 2.2::double / (tf{i} + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))" for i in range(len(TERMS)))} AS score
+    FROM c, s WHERE {" + ".join(f"tf{i}" for i in range(len(TERMS)))} > 0)"""
+
+
+@query("lexical_rank", "RET3 FN18", f"WITH {_BM25} SELECT doc_id, round(score, 4) AS score FROM r ORDER BY round(score, 8) DESC, doc_id LIMIT 20")
+def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return bm25(docs, TERMS).select(F.col("key").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+@query(
+    "rrf_hybrid_mandatory",
+    "RET4 RET5",
+    f"""WITH {_BM25}, lex AS (SELECT doc_id AS key, row_number() OVER (ORDER BY round(score, 8) DESC, doc_id) AS rank FROM r),
+    dense AS (SELECT e.vec_id AS key, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 0),
+    fused AS (SELECT key, round(sum(1.0::double / (60 + rank)), 9) AS rrf FROM (SELECT * FROM lex WHERE rank <= 20 UNION ALL SELECT * FROM dense WHERE rank <= 20) GROUP BY key),
+    forced AS (SELECT unnest([5, 3]) AS key)
+    SELECT * FROM (SELECT key, round(rrf, 6) AS rrf_score, false AS mandatory FROM fused WHERE key NOT IN (SELECT key FROM forced) ORDER BY rrf DESC, key LIMIT 10)
+    UNION ALL SELECT m.key, round(coalesce(f.rrf, 0), 6), true FROM forced m LEFT JOIN fused f ON f.key = m.key""",
+)
+def rrf_hybrid_mandatory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    dense = dense_rank_lists(v, _probes(v, [0])).select(F.lit(0).alias("list_id"), "key", "cosine", "rank")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("score", 8)), "key")  # over the 20 rows of one list
+    lexical = bm25(docs, TERMS).withColumn("rank", F.row_number().over(w)).select(F.lit(1).alias("list_id"), "key", F.lit(None).cast("double").alias("cosine"), "rank")
+    fused = reciprocal_rank_fusion(dense.unionByName(lexical), ["key"]).withColumn("rrf_score", F.round("rrf_score", 9))
+    forced = spark.createDataFrame([(5,), (3,)], "key long")
+    return with_mandatory(fused, forced, CANDIDATES).select("key", F.round("rrf_score", 6).alias("rrf_score"), "mandatory")
+
+
+@query(
+    "elbow_cut",
+    "RET13",
+    f"""WITH r AS (SELECT e.vec_id AS key, round({_COS}, 6) AS score, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 0),
+    l AS (SELECT *, rank IN (7, 9) AS protected FROM r WHERE rank <= 20), f AS (SELECT *, lag(score) OVER (ORDER BY rank) AS before FROM l WHERE NOT protected),
+    c AS (SELECT min(rank) AS cut FROM f WHERE before > 0 AND (before - score) / before > 0.5)
+    SELECT key, score, cast(rank AS integer) AS rank, protected FROM l, c WHERE protected OR cut IS NULL OR rank < cut""",
+)
+def elbow_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    ranked = dense_rank_lists(v, _probes(v, [0])).select("key", F.round("cosine", 6).alias("score"), "rank", F.col("rank").isin(7, 9).alias("protected"))
+    return elbow(ranked).select("key", "score", "rank", "protected")
+
+
+_STORE = """(VALUES ('fact_lines', 'CREATE TABLE fact_lines (x int REFERENCES dim_orders (id), y int references dim_parts(id))', 'dim_orders', 'dim_suppliers'),
+  ('dim_orders', 'see REFERENCES dim_customers (id)', 'dim_customers', 'fact_lines'), ('dim_customers', 'plain', NULL, 'dim_nations'), ('dim_parts', 'plain', NULL, NULL), ('dim_suppliers', 'plain', 'dim_nations', NULL), ('dim_nations', 'plain', NULL, NULL)) AS s(name, content, fk, related)"""
+
+
+def _store(spark: SparkSession) -> DataFrame:
+    rows = spark.sql(f"SELECT * FROM VALUES {_STORE[1:].replace('(VALUES ', '').replace('VALUES ', '', 1).replace(')) AS', ') AS')}")
+    fk = F.when(F.col("fk").isNotNull(), F.array(F.struct(F.lit("id").alias("column"), F.col("fk").alias("ref_table"), F.lit("id").alias("ref_column"))))
+    return rows.select("name", "content", fk.alias("fk_to"), F.when(F.col("related").isNotNull(), F.array("related")).alias("related_tables"), F.lit(False).alias("is_entry_point"))
+
+
+_EDGES = f"""e AS (SELECT name AS source, target, min(position) AS position FROM (
+    SELECT name, unnest(refs) AS target, generate_subscripts(refs, 1) - 1 AS position FROM (
+      SELECT name, list_concat(CASE WHEN fk IS NULL THEN [] ELSE [fk] END, CASE WHEN related IS NULL THEN [] ELSE [related] END, list_transform(regexp_extract_all(content, '(?i)REFERENCES\\s+(\\w+)\\s*\\(', 1), lambda x: lower(x))) AS refs FROM {_STORE})) GROUP BY name, target)"""
+
+
+@query("fk_references", "RET11", f"WITH {_EDGES} SELECT source, target, cast(position AS integer) AS position FROM e")
+def fk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references(_store(spark)).select("source", "target", "position")
+
+
+_RANKED = "(VALUES (1, 'fact_lines', 0.9::double), (2, 'dim_orders', 0.8::double), (3, 'dim_parts', 0.3::double), (4, 'dim_nations', 0.2::double)) AS k(rank, name, score)"
+
+
+@query(
+    "fk_expansion",
+    "RET12 RET14",
+    f"""WITH {_EDGES}, k AS (SELECT * FROM {_RANKED}), t AS (SELECT DISTINCT e.target AS name FROM k JOIN e ON e.source = k.name WHERE k.rank <= 2),
+    x AS (SELECT k.name, k.rank, k.score, k.name IN (SELECT name FROM t) AS protected, false AS expanded FROM k UNION ALL SELECT t.name, NULL, 0, true, true FROM t WHERE t.name NOT IN (SELECT name FROM k) AND t.name IN (SELECT name FROM {_STORE}))
+    SELECT * FROM (SELECT * FROM x WHERE NOT expanded ORDER BY rank LIMIT 3) UNION ALL SELECT * FROM x WHERE expanded""",
+)
+def fk_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark)
+    ranked = spark.createDataFrame([(1, "fact_lines", 0.9), (2, "dim_orders", 0.8), (3, "dim_parts", 0.3), (4, "dim_nations", 0.2)], "rank int, name string, score double")
+    return final_cut(expand_foreign_keys(ranked, references(store), store))
+
+
+@query("always_inject", "RET16 SRC8", "SELECT source, min(doc_id) AS entry, count(*) AS n FROM documents d WHERE source NOT IN ('src0', 'src1') AND source IN ('src0', 'src5', 'src7') GROUP BY source")
+def always_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    targeted = spark.createDataFrame([("src0",), ("src1",)], "source string")
+    always = spark.createDataFrame([("src0",), ("src5",), ("src7",)], "source string")
+    return docs.join(F.broadcast(always), "source", "left_semi").join(F.broadcast(targeted), "source", "left_anti").groupBy("source").agg(F.min("doc_id").alias("entry"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "citation_labels",
+    "CIT1",
+    f"""SELECT d.doc_id, round({_COS}, 4) AS score, CASE WHEN {_COS} >= 0.75 THEN 'High' WHEN {_COS} >= 0.55 THEN 'Medium' WHEN {_COS} >= 0.35 THEN 'Low' ELSE 'Very Low' END AS label,
+    CASE WHEN length(d.text) > 200 THEN substring(d.text, 1, 200) || '...' ELSE d.text END AS snippet FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 0""",
+)
+def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    probe = _probes(v, [0]).select("probe")
+    scored = v.crossJoin(F.broadcast(probe)).select(F.col("key").alias("doc_id"), cosine(F.col("embedding"), F.col("probe")).alias("c"))
+    return table(spark, sf_dir, "documents").join(scored, "doc_id").select("doc_id", F.round("c", 4).alias("score"), citation_label(F.col("c")).alias("label"), snippet(F.col("text")).alias("snippet"))
+
+
+@query("vector_text", "EMB3", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::double)), ',') || ']' AS vector FROM embeddings WHERE len(embedding) = 64")
+def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", serialised(of_dimension(F.col("embedding"), 64)).alias("vector"))
+
+
+sql_query("prompt_schema_lines", "TX1", "nation region", "SELECT 'nation' AS name, 'nation: ' || array_join(array('n_nationkey', 'n_name', 'n_regionkey'), ', ') AS line, cast(count(*) AS bigint) AS n FROM {nation}", {"array_join(array('n_nationkey', 'n_name', 'n_regionkey'), ', ')": "array_to_string(['n_nationkey', 'n_name', 'n_regionkey'], ', ')"})
