@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the JVM drop shuffle files of finished phases whose plans are no longer referenced."""
-    import gc
+    """Let Spark drop the shuffle files of finished phases whose plans are no longer referenced.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The first collection frees Python's handles of JVM plans, whose release arrives a little later; the next ones
+    find those plans unreachable, and Spark's cleaner deletes their files on all executors.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def remainder(column: str, divisor: int) -> Column:
