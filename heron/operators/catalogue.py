@@ -46,6 +46,3 @@ def query(name: str, covers: str, oracle: str | None = None) -> Callable[[Query]
         return run
 
     return add
-
-
-from heron.operators import knowledge, relational, resolution, retrieval  # noqa: E402,F401  each registers its queries
