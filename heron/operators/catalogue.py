@@ -1,7 +1,8 @@
 """Registry of the relational, retrieval and resolution queries with their SQL twins.
 
 Every query is declarative: Catalyst picks join strategies, prunes columns and pushes filters to the scans. Doubles
-are rounded and counts cast the same way on both sides, and every limit has a total order.
+are rounded and counts cast the same way on both sides, means with 1e-9 added, which keeps halves from rounding either
+way, and every limit has a total order.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ sql_query(
     WITH latest AS (SELECT max(year(o_orderdate)) AS y FROM {orders}),
     totals AS (
       SELECT c.c_name AS entity, cast(l.y AS string) AS season, cast(count(DISTINCT o.o_orderkey) AS bigint) AS n_orders,
-             round(sum(i.l_extendedprice * (1 - i.l_discount)), 2) AS revenue
+             round(sum(i.l_extendedprice * (1 - i.l_discount)), 4) AS revenue
       FROM {orders} o JOIN latest l ON year(o.o_orderdate) = l.y
       JOIN {customer} c ON o.o_custkey = c.c_custkey
       JOIN {lineitem} i ON i.l_orderkey = o.o_orderkey
@@ -163,7 +163,7 @@ sql_query("self_join_pairs", "JN8", "lineitem", "SELECT a.l_orderkey, a.l_linenu
 sql_query("segment_differential", "JN18", "lineitem", "SELECT a.l_suppkey, round(sum(a.l_quantity - b.l_quantity), 2) AS difference, cast(count(*) AS bigint) AS n FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY a.l_suppkey")
 sql_query("cross_scope_join", "JN9 JN10 CT8 AG17", "orders", "WITH bounds AS (SELECT min(cast(o_orderdate AS date)) AS first_day, max(cast(o_orderdate AS date)) AS last_day FROM {orders}) SELECT o.o_orderpriority, b.first_day, b.last_day, cast(count(*) AS bigint) AS n FROM {orders} o CROSS JOIN bounds b WHERE cast(o.o_orderdate AS date) > b.first_day GROUP BY o.o_orderpriority, b.first_day, b.last_day")
 sql_query("on_true_join", "JN10", "region", "WITH one AS (SELECT max(r_regionkey) AS top FROM {region}) SELECT r.r_name, r.r_regionkey = one.top AS is_top FROM {region} r JOIN one ON 1 = 1")
-sql_query("scoped_cte_join", "JN11", "orders customer", "WITH scoped AS (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000) SELECT cast(count(*) AS bigint) AS n, round(avg(o.o_totalprice), 4) AS mean_price FROM {orders} o JOIN scoped s ON s.c_custkey = o.o_custkey")
+sql_query("scoped_cte_join", "JN11", "orders customer", "WITH scoped AS (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000) SELECT cast(count(*) AS bigint) AS n, round(avg(o.o_totalprice) + 1e-9, 4) AS mean_price FROM {orders} o JOIN scoped s ON s.c_custkey = o.o_custkey")
 sql_query("semi_exists", "JN12 CT6", "customer orders", "SELECT c.c_custkey, c.c_name FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT' AND o.o_totalprice > 200000)")
 sql_query("semi_in", "JN13", "customer orders", "SELECT c.c_custkey, c.c_name FROM {customer} c WHERE c.c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000)")
 sql_query("anti_join", "JN14", "customer orders", "SELECT c.c_custkey, c.c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
@@ -173,7 +173,7 @@ sql_query("resolve_then_filter", "JN17 CT9", "customer orders", "SELECT o_orderk
 
 # ---- aggregates
 
-sql_query("basic_aggregates", "AG1", "lineitem", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS total, round(avg(l_extendedprice), 4) AS mean, cast(count(*) AS bigint) AS n, min(l_discount) AS lo, max(l_tax) AS hi FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
+sql_query("basic_aggregates", "AG1", "lineitem", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS total, round(avg(l_extendedprice) + 1e-9, 4) AS mean, cast(count(*) AS bigint) AS n, min(l_discount) AS lo, max(l_tax) AS hi FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
 sql_query("distinct_counts", "AG2", "lineitem", "SELECT l_returnflag, cast(count(*) AS bigint) AS n, cast(count(DISTINCT l_orderkey) AS bigint) AS n_orders, round(sum(l_quantity) / count(DISTINCT l_orderkey), 6) AS per_order FROM {lineitem} GROUP BY l_returnflag")
 sql_query("global_aggregate", "AG3", "orders", "SELECT cast(count(*) AS bigint) AS n, round(sum(o_totalprice), 2) AS total FROM {orders}")
 sql_query("spread", "AG4 AG5", "lineitem", "SELECT l_shipmode_key, round(sd, 6) AS sd, round(var, 4) AS var, round(sdp, 6) AS sdp, round(vp, 4) AS vp FROM (SELECT l_linenumber AS l_shipmode_key, stddev_samp(l_quantity) AS sd, var_samp(l_quantity) AS var, stddev_pop(l_quantity) AS sdp, var_pop(l_quantity) AS vp FROM {lineitem} GROUP BY l_linenumber) AS t")
@@ -184,16 +184,16 @@ sql_query(
     "SELECT r.r_name, array_join(sort_array(collect_list(n.n_name)), ',') AS names, cast(size(collect_list(n.n_nationkey)) AS bigint) AS n, to_json(sort_array(collect_list(n.n_nationkey))) AS keys FROM {nation} n JOIN {region} r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name",
     "SELECT r.r_name, string_agg(n.n_name, ',' ORDER BY n.n_name) AS names, len(list(n.n_nationkey)) AS n, '[' || string_agg(cast(n.n_nationkey AS varchar), ',' ORDER BY n.n_nationkey) || ']' AS keys FROM {nation} n JOIN {region} r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name",
 )
-sql_query("filter_clause", "AG7", "orders", "SELECT year(o_orderdate) AS y, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS finished, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 4) AS open FROM {orders} GROUP BY year(o_orderdate)", {"SELECT year(o_orderdate) AS y": "SELECT cast(year(o_orderdate) AS integer) AS y"})
+sql_query("filter_clause", "AG7", "orders", "SELECT year(o_orderdate) AS y, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') + 1e-9, 4) AS finished, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') + 1e-9, 4) AS open FROM {orders} GROUP BY year(o_orderdate)", {"SELECT year(o_orderdate) AS y": "SELECT cast(year(o_orderdate) AS integer) AS y"})
 sql_query("conditional_agg", "AG8", "orders customer nation region", "SELECT r.r_name, cast(sum(CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS bigint) AS urgent, cast(sum(CASE WHEN o.o_orderpriority <> '1-URGENT' THEN 1 ELSE 0 END) AS bigint) AS other FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name")
 sql_query("ratio_of_sums", "AG9 FN1", "lineitem", "SELECT l_suppkey, round(sum(l_extendedprice * l_discount) / nullif(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END), 0), 6) AS ratio FROM {lineitem} GROUP BY l_suppkey")
 sql_query("having_threshold", "AG10", "orders", "SELECT o_custkey, cast(count(DISTINCT o_orderkey) AS bigint) AS n FROM {orders} GROUP BY o_custkey HAVING count(DISTINCT o_orderkey) >= 20")
 sql_query("having_alias", "AG11", "orders", "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey HAVING total > 2000000")
 sql_query("group_by_forms", "AG12", "orders", "SELECT substr(o_orderpriority, 1, 1) AS level, o_orderstatus, cast(count(*) AS bigint) AS n FROM {orders} GROUP BY level, 2")
 sql_query("select_distinct", "AG13", "lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")
-sql_query("two_stage_agg", "AG14", "orders", "WITH per AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT cast(n AS bigint) AS n_orders, cast(count(*) AS bigint) AS n_customers, round(avg(total), 4) AS mean_total FROM per GROUP BY n")
+sql_query("two_stage_agg", "AG14", "orders", "WITH per AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT cast(n AS bigint) AS n_orders, cast(count(*) AS bigint) AS n_customers, round(avg(total) + 1e-9, 4) AS mean_total FROM per GROUP BY n")
 sql_query("stddev_consistency", "AG15 FN4", "events", "SELECT user_id, cast(count(*) AS bigint) AS n, round(avg(value) / nullif(stddev_samp(value), 0) * ln(count(*)), 6) AS consistency FROM {events} GROUP BY user_id HAVING count(*) >= 30 AND stddev_samp(value) > 0")
-sql_query("net_average", "AG16", "lineitem", "SELECT l_suppkey, round(avg(l_extendedprice) - avg(l_extendedprice * (1 - l_discount)), 4) AS net FROM {lineitem} GROUP BY l_suppkey")
+sql_query("net_average", "AG16", "lineitem", "SELECT l_suppkey, round(avg(l_extendedprice) - avg(l_extendedprice * (1 - l_discount)) + 1e-9, 4) AS net FROM {lineitem} GROUP BY l_suppkey")
 sql_query(
     "record_by_side",
     "AG18 JN4",
@@ -201,7 +201,7 @@ sql_query(
     """WITH meets AS (SELECT o.o_orderkey, c.c_nationkey AS home, s.s_nationkey AS away, sum(i.l_quantity) AS home_score, sum(i.l_extendedprice) / 1500 AS away_score
       FROM {lineitem} i JOIN {orders} o ON o.o_orderkey = i.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {supplier} s ON s.s_suppkey = i.l_suppkey GROUP BY o.o_orderkey, c.c_nationkey, s.s_nationkey),
     sides AS (SELECT home AS team, home_score > away_score AS won FROM meets UNION ALL SELECT away AS team, away_score > home_score AS won FROM meets)
-    SELECT team, cast(sum(CASE WHEN won THEN 1 ELSE 0 END) AS bigint) AS wins, cast(sum(CASE WHEN won THEN 0 ELSE 1 END) AS bigint) AS losses, round(avg(cast(CASE WHEN won THEN 1 ELSE 0 END AS double)), 4) AS share FROM sides GROUP BY team""",
+    SELECT team, cast(sum(CASE WHEN won THEN 1 ELSE 0 END) AS bigint) AS wins, cast(sum(CASE WHEN won THEN 0 ELSE 1 END) AS bigint) AS losses, round(avg(cast(CASE WHEN won THEN 1 ELSE 0 END AS double)) + 1e-9, 4) AS share FROM sides GROUP BY team""",
 )
 sql_query("cube_rollup", "AG-ext", "orders", "SELECT o_orderstatus, o_orderpriority, cast(count(*) AS bigint) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 
@@ -225,13 +225,13 @@ sql_query("window_frames", "WN-ext", "events", "SELECT event_id, round(sum(value
 sql_query("order_limit", "SO1", "orders", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10")
 sql_query("top_n_dialect", "SO5", "part", "SELECT p_partkey, p_retailprice FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 5")
 sql_query("last_event", "SO2", "events", "SELECT user_id, max_by(event_id, struct(ts, event_id)) AS event_id, max(ts) AS ts FROM {events} GROUP BY user_id", {"struct(ts, event_id)": "row(ts, event_id)"})
-sql_query("last_n_avg", "SO3", "events", "WITH ranked AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) SELECT user_id, round(avg(value), 4) AS mean_of_last, cast(count(*) AS bigint) AS n FROM ranked WHERE rn <= 5 GROUP BY user_id")
+sql_query("last_n_avg", "SO3", "events", "WITH ranked AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) SELECT user_id, round(avg(value) + 1e-9, 4) AS mean_of_last, cast(count(*) AS bigint) AS n FROM ranked WHERE rn <= 5 GROUP BY user_id")
 sql_query("enum_order", "SO4 FN7", "orders", "SELECT o_custkey, max(CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 3 ELSE 1 END) AS highest FROM {orders} GROUP BY o_custkey")
 sql_query("branch_limit_union", "SO6 ST1", "orders", "SELECT * FROM (SELECT 'top' AS side, o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) AS a UNION ALL SELECT * FROM (SELECT 'bottom' AS side, o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice, o_orderkey LIMIT 3) AS b")
 
 # ---- set operations, subqueries, periods
 
-sql_query("side_by_side", "ST1", "customer", "SELECT 'BUILDING' AS segment, cast(count(*) AS bigint) AS n, round(avg(c_acctbal), 4) AS mean FROM {customer} WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'MACHINERY', cast(count(*) AS bigint), round(avg(c_acctbal), 4) FROM {customer} WHERE c_mktsegment = 'MACHINERY'")
+sql_query("side_by_side", "ST1", "customer", "SELECT 'BUILDING' AS segment, cast(count(*) AS bigint) AS n, round(avg(c_acctbal) + 1e-9, 4) AS mean FROM {customer} WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'MACHINERY', cast(count(*) AS bigint), round(avg(c_acctbal) + 1e-9, 4) FROM {customer} WHERE c_mktsegment = 'MACHINERY'")
 sql_query("union_distinct", "ST2", "customer supplier", "SELECT c_nationkey AS nationkey FROM {customer} WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM {supplier} WHERE s_acctbal > 5000")
 sql_query("intersect_except", "ST-ext", "customer supplier", "SELECT 'both' AS kind, k FROM (SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}) AS a UNION ALL SELECT 'customers only', k FROM (SELECT c_nationkey AS k FROM {customer} EXCEPT SELECT s_nationkey FROM {supplier}) AS b")
 sql_query("cte_chain", "CT1", "orders customer", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS total FROM {orders} GROUP BY o_custkey), b AS (SELECT c.c_mktsegment, a.total FROM a JOIN {customer} c ON c.c_custkey = a.o_custkey), d AS (SELECT c_mktsegment, max(total) AS best FROM b GROUP BY c_mktsegment) SELECT c_mktsegment, round(best, 2) AS best FROM d")
@@ -248,7 +248,7 @@ sql_query(
     now AS (SELECT * FROM per WHERE y = 1998), was AS (SELECT * FROM per WHERE y = 1997)
     SELECT now.c_mktsegment, round(now.total, 2) AS total, round(was.total, 2) AS before, round((now.total - was.total) / nullif(was.total, 0), 6) AS growth FROM now JOIN was ON was.c_mktsegment = now.c_mktsegment""",
 )
-sql_query("derived_table", "CT9", "lineitem", "SELECT flag, round(avg(q), 4) AS mean FROM (SELECT l_returnflag AS flag, l_orderkey, sum(l_quantity) AS q FROM {lineitem} GROUP BY l_returnflag, l_orderkey) AS per GROUP BY flag")
+sql_query("derived_table", "CT9", "lineitem", "SELECT flag, round(avg(q) + 1e-9, 4) AS mean FROM (SELECT l_returnflag AS flag, l_orderkey, sum(l_quantity) AS q FROM {lineitem} GROUP BY l_returnflag, l_orderkey) AS per GROUP BY flag")
 
 # ---- scalar functions
 
