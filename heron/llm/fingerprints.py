@@ -239,11 +239,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_fingerprinted, SCHEMA)
 
 
-def near_documents(prints: DataFrame, bits: int = 24, bands: int = 12, least: float = 0.75) -> DataFrame:
+def near_documents(prints: DataFrame, bits: int = 24, bands: int = 8, least: float = 0.75) -> DataFrame:
     """Pairs (a, b, near) of fingerprints (doc_id, fingerprint) that agree on one band of sampled bits and are verified alike.
 
     Equal fingerprints are one class, by its smallest doc_id, so copies aren't expanded into pairs. A band's key is
-    `bits` bits from the last two octaves both texts share; classes of one key meet the smallest of their key.
+    `bits` bits of one of the last four octaves, as far as the text fills them; classes of one key meet the smallest of
+    their key.
     """
 
     def keys(frames):
@@ -253,7 +254,7 @@ def near_documents(prints: DataFrame, bits: int = 24, bands: int = 12, least: fl
                 own = from_text(text)
                 _, octave = _steps()
                 top = octave[len(own) - 1] if len(own) else 0
-                for s in range(max(0, top - 1), top + 1):
+                for s in range(max(0, top - 3), top + 1):
                     inside = np.flatnonzero(octave[: len(own)] == s)
                     if len(inside) < min(SAMPLES, 1 << s):
                         continue
