@@ -6,8 +6,8 @@ so each node sends only those, a quarter, to buckets by hash. Sharers of a shing
 filter), the shingle's places in both orders (positional filter) and counts of shingles per hash class, which bound
 the difference of the sets (suffix filter), allow for 0.75. Pairs are made distinct and verified once on whole sets.
 
-Large groups of sharers aren't expanded: first each member meets the group's smallest node; after components are
-known, only members that are still apart are paired. So no link between components is lost, whatever a group's size,
+Large groups of sharers aren't expanded: first each member meets the group's most central node, the one with the fewest
+rarer shingles; after components are known, only members that are still apart are paired. So no link between components is lost, whatever a group's size,
 and the components are exact.
 
 Frequencies are counted over all documents, chunk by chunk: shingles that repeat within a chunk are summed up, and the
@@ -27,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
+from pyspark.sql.window import Window
 
-from heron.llm.common import LOWER_LUT, SPACES, byte_slices, cut, documents, release
+from heron.llm.common import byte_slices, cut, documents, release
 from heron.llm.components import components
+from heron.llm.words import STEP, mix, words
 
 WORDS = 5
 #: Likeness NUM / DEN.
@@ -38,59 +40,30 @@ NUM, DEN = 3, 4
 FREQUENT, CHUNK, REPEATS = 200_000, 4_000_000, 4
 #: Entries of a bucket; groups of sharers up to this size are paired at once.
 BUCKET_ENTRIES, SMALL = 1_500_000, 8
+#: Hash classes of the suffix filters: counts of few travel with each entry, parities of many (at least, twice the set's
+#: size else) with each pair before whole sets do.
+FEW, MANY = 8, 2048
+#: Up to so many doc_ids, the texts to verify are picked by a broadcast list of ids; beyond, by a shuffle.
+LISTED = 200_000
 
-_RNG = np.random.Generator(np.random.PCG64(2))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_PLACE = np.cumprod(np.full(1 << 16, _STEP | np.uint64(1), np.uint64), dtype=np.uint64)
-_OF_WORD = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-_IS_SPACE = np.isin(np.arange(256), SPACES)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, in order, and how many each text has."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    data = LOWER_LUT[raw]
-    solid = ~_IS_SPACE[data]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    own = starts[starts < ends]
-    first[own] = solid[own]
-    at = np.flatnonzero(first)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    inside = np.flatnonzero(solid)
-    word = np.cumsum(first)[inside] - 1
-    place = inside - at[word]
-    value = _BYTE[data[inside]] * (_PLACE[place & 0xFFFF] + (place >> 16).astype(np.uint64) * _STEP)
-    begin = np.searchsorted(inside, at)
-    hashes = np.add.reduceat(value, begin)
-    length = np.diff(begin, append=len(inside)).astype(np.uint64)
-    bounds = np.searchsorted(at, np.concatenate([starts, ends[-1:]]))
-    return mix(hashes + length * _STEP), np.diff(bounds)
+_OF_WORD = np.random.Generator(np.random.PCG64(22)).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words, n = word_hashes(raw, starts, ends)
+    found = words(raw, starts, ends, shapes=False)
+    hashes, n = found.hashes, found.counts
     last = np.cumsum(n)
-    many = len(words) - WORDS + 1
+    many = len(hashes) - WORDS + 1
     with np.errstate(over="ignore"):
-        every = mix(sum(words[k : many + k] * _OF_WORD[k] for k in range(WORDS))) if many > 0 else np.zeros(0, np.uint64)
+        every = mix(sum(hashes[k : many + k] * _OF_WORD[k] for k in range(WORDS))) if many > 0 else np.zeros(0, np.uint64)
         out = []
         for size, end in zip(n.tolist(), last.tolist(), strict=True):
             if size >= WORDS:
                 own = np.sort(every[end - size : end - WORDS + 1])
                 out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
             elif size:
-                out.append(mix((words[end - size : end] * _OF_WORD[:size]).sum(keepdims=True, dtype=np.uint64) + np.uint64(size) * _STEP + np.uint64(1)))
+                out.append(mix((hashes[end - size : end] * _OF_WORD[:size]).sum(keepdims=True, dtype=np.uint64) + np.uint64(size) * STEP + np.uint64(1)))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
@@ -104,14 +77,15 @@ def node_of(shingles: np.ndarray, seed: int) -> int:
 def _sizes(seed: int):
     def run(batches):
         for batch in batches:
-            n, nodes, digests = [], [], []
+            n, nodes, digests, sigs = [], [], [], []
             for _, starts, ends, raw in byte_slices(batch, "text"):
                 for s in shingle_sets(raw, starts, ends):
                     n.append(len(s))
                     nodes.append(node_of(s, seed))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sigs.append(_parities(s))
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "node", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "digest", "sig"])
 
     return run
 
@@ -129,7 +103,7 @@ def _new_sets(batches, seed: int):
                     sets.append(s)
             for lo in range(0, len(nodes), 60_000):
                 yield nodes[lo : lo + 60_000], sets[lo : lo + 60_000]
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
 
 
@@ -165,10 +139,32 @@ def _ordered(shingles: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> np.
     return np.concatenate([shingles[~ranked], tail[np.argsort(ranks[at[ranked]])]])
 
 
-def _signature(shingles: np.ndarray) -> int:
-    """Shingles in each of 8 hash classes, modulo 256, a byte each."""
-    counts = np.bincount((shingles & np.uint64(7)).astype(np.int64), minlength=8) & 255
-    return int(counts.astype(np.uint8).view(np.int64)[0])
+def _signature(shingles: np.ndarray, classes: int) -> np.ndarray:
+    """Shingles in each hash class, modulo 256, a byte each."""
+    return (np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 255).astype(np.uint8)
+
+
+def _parities(shingles: np.ndarray) -> bytes:
+    """A bit for each hash class: whether its count is odd. A shingle that two sets don't share flips one bit."""
+    classes = max(MANY, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else MANY
+    counts = np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def _flipped(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ; the longer is folded, as a class of few is the union of classes of many."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles in which two sets differ at least, row by row of their signatures."""
+    d = np.abs(a.astype(np.int16) - b.astype(np.int16))
+    return np.minimum(d, 256 - d).sum(axis=1)
 
 
 def _entries(seed: int, table, buckets: int):
@@ -184,7 +180,7 @@ def _entries(seed: int, table, buckets: int):
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             node, size = np.array(nodes, np.int64), np.array([len(s) for s in sets], np.uint32)
-            sig = np.array([_signature(s) for s in sets], np.int64)
+            sig = np.concatenate([_signature(s, FEW) for s in sets]).view(np.int64)
             rows = []
             for b in range(buckets):
                 own = order[bounds[b] : bounds[b + 1]]
@@ -203,9 +199,7 @@ def passes(na, nb, pa_, pb, sa, sb) -> np.ndarray:
     """Length, positional and suffix filters for a shared shingle at places pa_ and pb of sets of na and nb shingles."""
     least = -(-(na + nb) * NUM // (NUM + DEN))  # shingles that sets of this likeness share
     ok = (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM) & (pa_ <= na - least) & (pb <= nb - least)
-    a, b = sa.view(np.uint8).reshape(-1, 8).astype(np.int16), sb.view(np.uint8).reshape(-1, 8).astype(np.int16)
-    d = np.abs(a - b)
-    return ok & (np.minimum(d, 256 - d).sum(axis=1) <= na + nb - 2 * least)
+    return ok & (_differ(sa.view(np.uint8).reshape(-1, FEW), sb.view(np.uint8).reshape(-1, FEW)) <= na + nb - 2 * least)
 
 
 PAIRED = "a long, b long, key long, size long, place long, sig long"
@@ -258,7 +252,9 @@ def _paired(batches):
     large = count > SMALL
     inside = np.repeat(large, count)
     if large.any():
-        head = np.repeat(first, count)[inside]
+        # The centre is the member with the fewest rarer shingles: an original has none that its copies lack.
+        least = np.minimum.reduceat(place * len(key) + np.arange(len(key)), first) % len(key)
+        head = np.repeat(least, count)[inside]
         member = np.flatnonzero(inside)
         tried(head[member != head], member[member != head])
     if pairs:
@@ -291,11 +287,29 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are alike."""
+@F.pandas_udf(BooleanType())
+def _near(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
+    """The suffix filter with parities of many hash classes."""
+    out = []
+    for x, y, a, b in zip(na.tolist(), nb.tolist(), sa, sb, strict=True):
+        out.append(_flipped(a, b) <= x + y - 2 * -(-(x + y) * NUM // (NUM + DEN)))
+    return pd.Series(out, dtype=bool)
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, source: DataFrame, seed: int) -> DataFrame:
+    """The pairs whose whole sets are alike. Signatures go first; only sets of the pairs that they leave are made."""
+    a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"), F.col("least").alias("ia"))
+    b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"), F.col("least").alias("ib"))
+    pairs = cut(pairs.join(a, "a").join(b, "b").filter(_near("na", "nb", "siga", "sigb")).select("a", "b", "ia", "ib"))
+    ids = cut(pairs.select(F.col("ia").alias("__id")).union(pairs.select("ib")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= LISTED else ids
+    sets = cut(source.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(_sets(seed), "node long, shingles binary"))
+    # With copies of a doc_id in several tasks, a node comes more than once; only then is it worth another shuffle.
+    if not sets.groupBy("node").count().filter("count > 1").isEmpty():
+        sets = cut(sets.dropDuplicates(["node"]))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return cut(pairs.join(right, "b").join(left, "a").filter(alike("sa", "sb")).select("a", "b"))
+    return cut(pairs.select("a", "b").join(right, "b").join(left, "a").filter(alike("sa", "sb")).select("a", "b"))
 
 
 @F.pandas_udf(BooleanType())
@@ -309,11 +323,12 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seed = 0
     while True:  # nodes are 64-bit; should two sets share one, deal them anew
-        rows = cut(source.mapInArrow(_sizes(seed), "doc_id long, n_shingles long, node long, digest binary"))
-        classes = rows.filter("n_shingles > 0").groupBy("node", "digest").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
+        rows = cut(source.mapInArrow(_sizes(seed), "doc_id long, n_shingles long, node long, digest binary, sig binary"))
+        classes = rows.filter("n_shingles > 0").groupBy("node", "digest", "sig").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
         if classes.groupBy("node").count().filter("count > 1").isEmpty():
             break
         seed += 1
+    classes = cut(classes.select("node", "sig", "least", "n"))
     texts = source.select("text")
     counts = texts.mapInArrow(_frequent(seed), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     frequent = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
@@ -329,17 +344,11 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     release(spark)
     pairs = cut(found.filter("key IS NULL").select("a", "b").distinct())
     groups = found.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "size", "place", "sig")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct()
-    ids = classes.join(needed, "node").select(F.col("least").alias("__id")).distinct()
-    sets = cut(source.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(_sets(seed), "node long, shingles binary"))
+    links = _linked(pairs, classes, source, seed)
     release(spark)
-    # With several rows of a doc_id, or copies in several tasks, a node comes more than once; only then is it worth a shuffle.
-    if not sets.groupBy("node").count().filter("count > 1").isEmpty():
-        sets = cut(sets.dropDuplicates(["node"]))
-    links = _linked(pairs, sets)
     labels = cut(components(links))
     if not groups.isEmpty():
-        links = links.union(_linked(_still_apart(groups, labels, pairs), sets))
+        links = links.union(_linked(_still_apart(groups, labels, pairs), classes, source, seed))
         labels = cut(components(links))
     nodes = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     least = nodes.groupBy("label").agg(F.min("least").alias("component"))
@@ -348,17 +357,27 @@ def shingle_components(docs: DataFrame) -> DataFrame:
 
 
 def _still_apart(groups: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of a group that filters let pass, aren't in one component and weren't verified before."""
-    labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    members = cut(labelled.join(mixed, "key", "left_semi"))
-    a = members.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "sig", "label")])
-    b = members.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "place", "sig", "label")])
+    """Pairs of a group that filters let pass, aren't in one component and weren't verified before.
+
+    One side of such a pair is outside the group's largest component, so only those members look for partners. Two
+    nodes whose large groups before this one are the same share an earlier one, where they are paired already.
+    """
+    before = F.lag("key").over(Window.partitionBy("node").orderBy("place"))
+    labelled = groups.withColumn("before", before).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    members = cut(labelled.join(mixed.select("key", F.col("top.label").alias("major")), "key"))
+    columns = ("node", "size", "place", "sig", "label", "before")
+    a = members.filter("label <> major").select("key", "major", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = members.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
     least = F.ceil((F.col("size_a") + F.col("size_b")) * NUM / (NUM + DEN))
+    once = (F.col("label_b") == F.col("major")) | (F.col("node_a") < F.col("node_b"))
     # the cheap filters stand in the join's condition, so that only passing pairs are rows
-    near = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & (F.least("size_a", "size_b") * DEN >= F.greatest("size_a", "size_b") * NUM) & (F.col("place_a") <= F.col("size_a") - least) & (F.col("place_b") <= F.col("size_b") - least)
-    pairs = a.join(b, (a["key"] == b["key"]) & near).filter(_passing("size_a", "size_b", "place_a", "place_b", "sig_a", "sig_b"))
-    return cut(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    first = F.col("before_a").isNull() | F.col("before_b").isNull() | (F.col("before_a") != F.col("before_b"))
+    near = (F.col("label_a") != F.col("label_b")) & once & first & (F.least("size_a", "size_b") * DEN >= F.greatest("size_a", "size_b") * NUM) & (F.col("place_a") <= F.col("size_a") - least) & (F.col("place_b") <= F.col("size_b") - least)
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & near).filter(_passing("size_a", "size_b", "place_a", "place_b", "sig_a", "sig_b"))
+    pairs = cut(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -79,6 +79,15 @@ def test_filters_keep_every_link():
         assert places[0][0] < len(a) - -(-len(a) * 3 // 4) + 1
 
 
+@given(st.sets(st.integers(0, 1 << 40), min_size=1, max_size=3000), st.sets(st.integers(0, 1 << 40), max_size=60))
+@settings(max_examples=30, deadline=None)
+def test_parities_bound_the_difference(a, b):
+    x, y = (np.array(sorted(s), np.uint64) for s in (a, (a | b)))
+    few = np.array(sorted(b)[:20], np.uint64)
+    assert ngram_join._flipped(ngram_join._parities(x), ngram_join._parities(y)) <= len(b - a)
+    assert ngram_join._flipped(ngram_join._parities(x), ngram_join._parities(few)) <= len(a ^ set(few.tolist()))
+
+
 # ---- language
 
 
