@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -112,3 +113,13 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         base = offsets[lo]
         yield lo, offsets[lo:hi] - base, offsets[lo + 1 : hi + 1] - base, raw[base : offsets[hi]]
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Give memory that numpy and Arrow have freed back to the machine; workers are reused from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass

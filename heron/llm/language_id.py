@@ -30,7 +30,7 @@ TRAIN_ROWS = 8_000
 SCALE = 10_000
 UNKNOWN = "und"
 #: Trigram vectors kept by a worker.
-CACHED = 120_000
+CACHED = 60_000
 
 
 @functools.lru_cache(1)
@@ -52,7 +52,7 @@ class Profiles:
 
     def __init__(self):
         self.codes = np.zeros(0, np.int64)
-        self.rows = np.zeros((0, DIMENSIONS), np.float32)
+        self.rows = np.zeros((0, DIMENSIONS), np.int8)
 
     def places(self, codes: np.ndarray) -> np.ndarray:
         """Row of each of the distinct sorted codes."""
@@ -66,7 +66,7 @@ class Profiles:
             bound = np.roll(v[fresh // ALPHABET**2], 2, axis=1) * np.roll(v[fresh // ALPHABET % ALPHABET], 1, axis=1) * v[fresh % ALPHABET]
             every = np.concatenate([self.codes, fresh])
             order = np.argsort(every, kind="stable")
-            self.codes, self.rows = every[order], np.concatenate([self.rows, bound.astype(np.float32)])[order]
+            self.codes, self.rows = every[order], np.concatenate([self.rows, bound])[order]
             at = np.searchsorted(self.codes, codes)
         return at
 
@@ -94,9 +94,9 @@ class Profiles:
         out = np.zeros((n, DIMENSIONS), np.float32)
         for i in range(n):
             a, b = bounds[i], bounds[i + 1]
-            for lo in range(a, b, 4096):  # long texts in pieces, so that a gather stays small
-                hi = min(b, lo + 4096)
-                out[i] += counts[lo:hi] @ self.rows[at[lo:hi]]
+            for lo in range(a, b, 2048):  # long texts in pieces, so that a gather stays small
+                hi = min(b, lo + 2048)
+                out[i] += counts[lo:hi] @ self.rows.take(at[lo:hi], axis=0).astype(np.float32)
         return out, has
 
 

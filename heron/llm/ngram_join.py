@@ -21,12 +21,10 @@ result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from heron.llm.common import byte_slices, cut, documents, release
@@ -78,7 +76,7 @@ def _sizes(seed: int):
     def run(batches):
         for batch in batches:
             n, nodes, digests, sigs = [], [], [], []
-            for _, starts, ends, raw in byte_slices(batch, "text"):
+            for _, starts, ends, raw in byte_slices(batch, "text", 1 << 20):
                 for s in shingle_sets(raw, starts, ends):
                     n.append(len(s))
                     nodes.append(node_of(s, seed))
@@ -94,7 +92,7 @@ def _new_sets(batches, seed: int):
     """(slice of distinct nodes, their sets): a node that a worker has just seen isn't given again."""
     seen: set[int] = set()
     for batch in batches:
-        for _, starts, ends, raw in byte_slices(batch, "text"):
+        for _, starts, ends, raw in byte_slices(batch, "text", 1 << 20):
             nodes, sets = [], []
             for s in shingle_sets(raw, starts, ends):
                 if len(s) and (node := node_of(s, seed)) not in seen:
@@ -151,7 +149,7 @@ def _parities(shingles: np.ndarray) -> bytes:
     return np.packbits(counts & 1, bitorder="little").tobytes()
 
 
-def _flipped(a: bytes, b: bytes) -> int:
+def _flipped(a, b) -> int:
     """Bits in which two parities differ; the longer is folded, as a class of few is the union of classes of many."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(x) > len(y):
@@ -276,32 +274,47 @@ def _sets(seed: int):
     return run
 
 
-@F.pandas_udf(BooleanType())
-def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+def _kept(test):
+    """Rows (a, b, ...) for which test, on the columns after those two, holds; the other columns are dropped."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                keep = pa.array(test(*batch.columns[2:]), pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
+
+    return run
+
+
+def _alike(sa, sb) -> list[bool]:
     """Whether two sets of shingles have likeness NUM / DEN or more, in integers."""
     out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    for x, y in zip(sa, sb, strict=True):
+        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
         both = len(np.intersect1d(x, y, assume_unique=True))
         out.append(DEN * both >= NUM * (len(x) + len(y) - both))
-    return pd.Series(out)
+    return out
 
 
-@F.pandas_udf(BooleanType())
-def _near(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
+def _near(na, nb, sa, sb) -> list[bool]:
     """The suffix filter with parities of many hash classes."""
-    out = []
-    for x, y, a, b in zip(na.tolist(), nb.tolist(), sa, sb, strict=True):
-        out.append(_flipped(a, b) <= x + y - 2 * -(-(x + y) * NUM // (NUM + DEN)))
-    return pd.Series(out, dtype=bool)
+    return [_flipped(a.as_buffer(), b.as_buffer()) <= x + y - 2 * -(-(x + y) * NUM // (NUM + DEN)) for x, y, a, b in zip(na.to_pylist(), nb.to_pylist(), sa, sb, strict=True)]
+
+
+def _passing(na, nb, place_a, place_b, sa, sb) -> np.ndarray:
+    return passes(*(np.ascontiguousarray(c.to_numpy()) for c in (na, nb, place_a, place_b, sa, sb)))
+
+
+PAIR = "a long, b long"
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, source: DataFrame, seed: int) -> DataFrame:
     """The pairs whose whole sets are alike. Signatures go first; only sets of the pairs that they leave are made."""
-    a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"), F.col("least").alias("ia"))
-    b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"), F.col("least").alias("ib"))
-    pairs = cut(pairs.join(a, "a").join(b, "b").filter(_near("na", "nb", "siga", "sigb")).select("a", "b", "ia", "ib"))
-    ids = cut(pairs.select(F.col("ia").alias("__id")).union(pairs.select("ib")).distinct())
+    a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
+    b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
+    pairs = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_kept(_near), PAIR))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = cut(classes.join(nodes, "node").select(F.col("least").alias("__id")).distinct())
     ids = F.broadcast(ids) if ids.count() <= LISTED else ids
     sets = cut(source.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(_sets(seed), "node long, shingles binary"))
     # With copies of a doc_id in several tasks, a node comes more than once; only then is it worth another shuffle.
@@ -309,12 +322,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, source: DataFrame, seed: int)
         sets = cut(sets.dropDuplicates(["node"]))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return cut(pairs.select("a", "b").join(right, "b").join(left, "a").filter(alike("sa", "sb")).select("a", "b"))
-
-
-@F.pandas_udf(BooleanType())
-def _passing(na: pd.Series, nb: pd.Series, pa_: pd.Series, pb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
-    return pd.Series(passes(na.to_numpy(), nb.to_numpy(), pa_.to_numpy(), pb.to_numpy(), np.ascontiguousarray(sa.to_numpy()), np.ascontiguousarray(sb.to_numpy())))
+    return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_kept(_alike), PAIR))
 
 
 def shingle_components(docs: DataFrame) -> DataFrame:
@@ -375,8 +383,8 @@ def _still_apart(groups: DataFrame, labels: DataFrame, tried: DataFrame) -> Data
     # the cheap filters stand in the join's condition, so that only passing pairs are rows
     first = F.col("before_a").isNull() | F.col("before_b").isNull() | (F.col("before_a") != F.col("before_b"))
     near = (F.col("label_a") != F.col("label_b")) & once & first & (F.least("size_a", "size_b") * DEN >= F.greatest("size_a", "size_b") * NUM) & (F.col("place_a") <= F.col("size_a") - least) & (F.col("place_b") <= F.col("size_b") - least)
-    pairs = a.join(b, (F.col("key") == F.col("key_b")) & near).filter(_passing("size_a", "size_b", "place_a", "place_b", "sig_a", "sig_b"))
-    pairs = cut(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & near).select("node_a", "node_b", "size_a", "size_b", "place_a", "place_b", "sig_a", "sig_b").mapInArrow(_kept(_passing), PAIR)
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
