@@ -33,7 +33,7 @@ START = np.uint64(0x3C6EF372FE94F82B)
 HEAD, RANKED, CLASSES, WIDEST, SHAPES = 1024, 200_000, 64, 64, 16
 #: Rows of the hashed features: of the class softmax (bigram, skip, trigram) and of the word softmax (bigram, skip).
 CLASS_BITS, WORD_BITS = 12, 10
-ROUNDS, BATCH, RATE = 3, 4096, 0.25
+ROUNDS, BATCH, RATE = 3, 8192, 0.25
 BUCKET_WORDS = 1_000_000
 BLOCKS = 16
 
@@ -125,25 +125,31 @@ class Model:
         self.word_bias = [np.log((vocabulary.counts[a:b] + 1.0) / (vocabulary.counts[a:b] + 1.0).sum()).astype(np.float32) for a, b in zip(vocabulary.bounds, vocabulary.bounds[1:], strict=False)]
 
     @staticmethod
-    def _softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits
+    def _softmax(parts: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+        """Softmax of the sum of the parts; the first part is used up. Large logits are shifted only if any are too large."""
+        logits = parts[0]
+        for x in parts[1:]:
+            logits += x
+        logits += bias
+        e = np.exp(logits)
+        total = e @ np.ones(e.shape[1], np.float32)
+        if not (np.isfinite(total).all() and (total > 1e-30).all()):
+            e = np.exp(logits - logits.max(axis=1, keepdims=True))
+            total = e.sum(axis=1)
+        e /= total[:, None]
+        return e
 
     def class_probabilities(self, features) -> np.ndarray:
-        w = self.weights
-        return self._softmax(w["c0"][features[0]] + w["c1"][features[1]] + w["c2"][features[2]] + self.class_bias)
+        return self._softmax([self.weights[f"c{k}"].take(features[k], axis=0) for k in range(3)], self.class_bias)
 
     def word_probabilities(self, c: int, features) -> np.ndarray:
-        w = self.weights
-        return self._softmax(w[f"w{c}.0"][features[0]] + w[f"w{c}.1"][features[1]] + self.word_bias[c])
+        return self._softmax([self.weights[f"w{c}.{k}"].take(features[k], axis=0) for k in range(2)], self.word_bias[c])
 
     def log10(self, tokens: Tokens, places: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 probability of each token; of a word outside the head, without its count inside the class."""
         out = np.empty(len(classes))
-        for lo in range(0, len(classes), 1 << 15):
-            part = slice(lo, lo + (1 << 15))
+        for lo in range(0, len(classes), BATCH):
+            part = slice(lo, lo + BATCH)
             p = self.class_probabilities([f[part] for f in tokens.features])
             out[part] = np.log10(p[np.arange(len(p)), classes[part]])
         v = self.vocabulary
@@ -154,8 +160,8 @@ class Model:
         for c in range(v.head_classes):
             if v.widths[c] > 1:
                 own = order[bounds[c] : bounds[c + 1]]
-                for lo in range(0, len(own), 1 << 15):
-                    mine = own[lo : lo + (1 << 15)]
+                for lo in range(0, len(own), BATCH):
+                    mine = own[lo : lo + BATCH]
                     p = self.word_probabilities(c, [f[mine] for f in tokens.word_features])
                     out[mine] += np.log10(p[np.arange(len(p)), places[mine] - v.bounds[c]])
         return out
@@ -174,13 +180,17 @@ class Trainer:
         ordered = rows[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         at = ordered[first]
-        total = np.add.reduceat(gradient[order], first, axis=0)
-        self.seen[name][at] += total * total
-        self.model.weights[name][at] -= RATE * total / np.sqrt(self.seen[name][at])
+        total = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
+        seen = self.seen[name].take(at, axis=0)
+        seen += total * total
+        self.seen[name][at] = seen
+        total *= RATE
+        total /= np.sqrt(seen, out=seen)
+        self.model.weights[name][at] -= total
         self.used[name][at] += np.diff(first, append=len(rows))
 
-    def step(self, tokens: Tokens, places: np.ndarray, classes: np.ndarray, part: np.ndarray) -> None:
-        v, features = self.model.vocabulary, [f[part] for f in tokens.features]
+    def step(self, tokens: Tokens, classes: np.ndarray, part: slice) -> None:
+        features = [f[part] for f in tokens.features]
         p = self.model.class_probabilities(features)
         p[np.arange(len(p)), classes[part]] -= 1
         for k in range(3):
@@ -206,7 +216,7 @@ class Trainer:
         places = v.places(tokens.hash)
         classes = v.classes(places, tokens.shape)
         for lo in range(0, len(classes), BATCH):
-            self.step(tokens, places, classes, np.arange(lo, min(lo + BATCH, len(classes))))
+            self.step(tokens, classes, slice(lo, lo + BATCH))
         self.words(tokens, places, classes)
 
 
