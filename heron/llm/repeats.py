@@ -311,7 +311,7 @@ def _shard(batches):
                 if other is None:
                     group[own] = mine
                     size += n
-                else:
+                elif mine != other:  # the same place once more: a repeated row came in another batch
                     group[own] = min(other, mine)
                     _, _, node, at = max(other, mine)
                     out.setdefault(node, []).append((at, at + n))

@@ -291,6 +291,23 @@ def test_repeats(docs, texts, array, monkeypatch):
     assert got == brute_removal(texts)
 
 
+def test_repeats_keep_a_passage_of_repeated_rows_in_separate_batches(spark):
+    r = random.Random(5)
+    passage = words(r, 80)
+    first, later = f"{words(r, 40)} {passage} {words(r, 40)}", f"{words(r, 40)} {passage} {words(r, 40)}"
+    rows = frame(spark, [(1, first), (1, first), (1, first), (2, later)])
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeated_spans(rows).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
+    once = brute_removal({1: first, 2: later})
+    whole = (1, len(first), len(first), 1, hashlib.sha256(b"").hexdigest())
+    assert once[1][1] == 0 and once[2][1] >= len(passage)
+    assert got == sorted([(1, *once[1]), whole, whole, (2, *once[2])])
+
+
 def test_packing(docs, texts):
     got = packing.packed(docs, 5, 300).toPandas()
     assert dict(zip(got.doc_id, got.n_tokens, strict=True)) == {i: len(t.encode().split()) for i, t in texts.items()}
