@@ -170,6 +170,16 @@ def test_model_adds_likely_spans():
     assert pii.masked("tel (212) 555-0100 x", [("phone", 4, 18)]) == "tel <PHONE> x"
 
 
+@pytest.mark.parametrize("sign", ["(at)", "[at]", "{at}", "(AT)", "[AT]", "{AT}", "(At)", "[aT]", "{At}", "＠"])
+def test_obfuscated_emails_are_found_in_any_case_and_bracket(sign):
+    text = f"write to jane.doe {sign} host [DOT] com please"
+    span = ("email", 9, text.index(" please"))
+    assert [x[:3] for x in pii.candidates(text, [])] == [span]
+    others = Counter((k, v, s, b) for i in range(50) for t in [f"mail u{i}@host.com or write to u{i} (at) host (dot) com"] for k, _, _, b, v, s in pii.candidates(t, pii.base_spans(t)))
+    model = pii.SpanModel([(*k, n) for k, n in others.items()])
+    assert model.spans(text) == ([], [span]) and pii.masked(text, model.spans(text)[1]) == "write to <EMAIL> please"
+
+
 # ---- BPE
 
 
