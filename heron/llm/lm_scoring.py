@@ -33,7 +33,9 @@ START = np.uint64(0x3C6EF372FE94F82B)
 HEAD, RANKED, CLASSES, WIDEST, SHAPES = 1024, 200_000, 64, 64, 16
 #: Rows of the hashed features: of the class softmax (bigram, skip, trigram) and of the word softmax (bigram, skip).
 CLASS_BITS, WORD_BITS = 12, 10
-ROUNDS, BATCH, RATE = 3, 8192, 0.25
+ROUNDS, BATCH, RATE = 3, 4096, 0.25
+#: Tokens that are scored at once; it doesn't change what is learnt.
+SLICE = 8192
 BUCKET_WORDS = 1_000_000
 BLOCKS = 16
 
@@ -148,8 +150,8 @@ class Model:
     def log10(self, tokens: Tokens, places: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 probability of each token; of a word outside the head, without its count inside the class."""
         out = np.empty(len(classes))
-        for lo in range(0, len(classes), BATCH):
-            part = slice(lo, lo + BATCH)
+        for lo in range(0, len(classes), SLICE):
+            part = slice(lo, lo + SLICE)
             p = self.class_probabilities([f[part] for f in tokens.features])
             out[part] = np.log10(p[np.arange(len(p)), classes[part]])
         v = self.vocabulary
@@ -160,8 +162,8 @@ class Model:
         for c in range(v.head_classes):
             if v.widths[c] > 1:
                 own = order[bounds[c] : bounds[c + 1]]
-                for lo in range(0, len(own), BATCH):
-                    mine = own[lo : lo + BATCH]
+                for lo in range(0, len(own), SLICE):
+                    mine = own[lo : lo + SLICE]
                     p = self.word_probabilities(c, [f[mine] for f in tokens.word_features])
                     out[mine] += np.log10(p[np.arange(len(p)), places[mine] - v.bounds[c]])
         return out

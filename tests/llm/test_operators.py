@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +189,26 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert got.score.sum() / got.n_tokens.sum() > got.base_score.sum() / got.n_tokens.sum()
 
 
+def test_lm_learns_in_minibatches_of_4096_whatever_is_scored_at_once(monkeypatch):
+    r = random.Random(3)
+    data = " ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(9_999)).encode()
+    tokens = lm_scoring.Tokens(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
+    h, first, n = np.unique(tokens.hash, return_index=True, return_counts=True)
+    shape = tokens.shape[first]
+    totals = np.stack([np.bincount(shape, weights=n, minlength=lm_scoring.SHAPES), np.bincount(shape, minlength=lm_scoring.SHAPES)]).astype(np.int64)
+    v = lm_scoring.Vocabulary(h, n, shape, totals, int(n.sum()), len(h))
+    sizes, own = [], lm_scoring.Trainer.step
+    monkeypatch.setattr(lm_scoring.Trainer, "step", lambda self, t, c, part: (sizes.append(len(c[part])), own(self, t, c, part)))
+    trainer = lm_scoring.Trainer(lm_scoring.Model(v))
+    trainer.learn(tokens)
+    assert sizes == [4096, 4096, 10_000 - 2 * 4096]
+    places = v.places(tokens.hash)
+    classes = v.classes(places, tokens.shape)
+    scores = trainer.model.log10(tokens, places, classes)
+    monkeypatch.setattr(lm_scoring, "SLICE", 100)
+    assert trainer.model.log10(tokens, places, classes) == pytest.approx(scores, abs=1e-4)
+
+
 @pytest.mark.parametrize("rows", [3_000, 10])
 def test_fingerprints(docs, texts, rows, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows)
