@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heron.llm.common import cut, documents
+from heron.llm.components import components
 
 #: Steps after which the shared random bits repeat, classes of characters, sampled steps of an octave.
 PERIOD, CLASSES, SAMPLES = 1 << 16, 64, 64
@@ -239,40 +240,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_fingerprinted, SCHEMA)
 
 
-def near_documents(prints: DataFrame, bits: int = 24, bands: int = 8, least: float = 0.75) -> DataFrame:
+def near_documents(prints: DataFrame, bits: int = 20, bands: int = 20, least: float = 0.75) -> DataFrame:
     """Pairs (a, b, near) of fingerprints (doc_id, fingerprint) that agree on one band of sampled bits and are verified alike.
 
-    Equal fingerprints are one class, by its smallest doc_id, so copies aren't expanded into pairs. A band's key is
-    `bits` bits of one of the last four octaves, as far as the text fills them; classes of one key meet the smallest of
-    their key.
+    Equal fingerprints are one class, by its smallest doc_id, so copies aren't expanded into pairs.
+    A band's key is `bits` bits of one of the last four octaves that the text fills. Classes of one key meet the
+    smallest of their key first; members that this leaves in different components then meet each other, so components
+    of the pairs are those of all alike pairs that share a key. doc_ids are taken as distinct.
     """
 
     def keys(frames):
+        _, octave = _steps()
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["fingerprint"], strict=True):
                 own = from_text(text)
-                _, octave = _steps()
-                top = octave[len(own) - 1] if len(own) else 0
-                for s in range(max(0, top - 3), top + 1):
+                reached = np.bincount(octave[: len(own)]) if len(own) else np.zeros(0, np.int64)
+                full = [s for s, n in enumerate(reached.tolist()) if n >= min(SAMPLES, 1 << s)]
+                for s in full[-4:]:
                     inside = np.flatnonzero(octave[: len(own)] == s)
-                    if len(inside) < min(SAMPLES, 1 << s):
-                        continue
-                    for k in range(bands):
+                    for k in range(bands if len(inside) > bits else 1):
                         picked = inside[np.random.Generator(np.random.PCG64([s, k])).permutation(len(inside))[:bits]]
                         rows.append((doc_id, text, f"{s}/{k}/" + np.packbits(own[np.sort(picked)]).tobytes().hex()))
             yield pd.DataFrame(rows, columns=["doc_id", "fingerprint", "band"])
 
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    banded = cut(classes.mapInPandas(keys, "doc_id long, fingerprint string, band string"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
-    pairs = banded.join(heads, "band").filter("head.doc_id < doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
-
     @F.pandas_udf("double")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(from_text(x), from_text(y)) for x, y in zip(a, b, strict=True)])
 
-    return pairs.select("a", "b", near("fa", "fb").alias("near")).filter(F.col("near") >= least)
+    def alike(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.distinct().select("a", "b", near("fa", "fb").alias("near")).filter(F.col("near") >= least))
+
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    banded = cut(classes.mapInPandas(keys, "doc_id long, fingerprint string, band string"))
+    heads = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
+    first = alike(banded.join(heads, "band").filter("head.doc_id < doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")))
+    # One of two members in different components is outside the key's largest one.
+    labelled = banded.join(components(first.select("a", "b")).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    members = cut(labelled.join(mixed.select("band", F.col("top.label").alias("major")), "band"))
+    x, y = members.filter("label <> major").alias("x"), members.alias("y")
+    once = (F.col("y.label") == F.col("y.major")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    apart = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & once)
+    swap = F.col("x.doc_id") > F.col("y.doc_id")
+    more = alike(apart.select(*[F.when(swap if k else ~swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(n) for n, c, k in (("a", "doc_id", 0), ("b", "doc_id", 1), ("fa", "fingerprint", 0), ("fb", "fingerprint", 1))]))
+    return first.union(more)
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -237,6 +237,35 @@ def test_near_documents(spark):
     assert all(near == pytest.approx(fingerprints.likeness(prints[a], prints[b])) for (a, b), near in got.items())
 
 
+def flipped(r, bits, share):
+    out = bits.copy()
+    _, octave = fingerprints._steps()
+    for s in range(octave[len(bits) - 1] + 1):
+        inside = [i for i in range(len(bits)) if octave[i] == s]
+        for i in r.sample(inside, int(share * len(inside))):
+            out[i] ^= 1
+    return out
+
+
+def test_near_documents_reach_pairs_at_the_threshold_and_beside_an_unlike_head(spark):
+    r = random.Random(2)
+    _, octave = fingerprints._steps()
+    n = int((octave < 11).sum())
+    base = [np.array([r.randrange(2) for _ in range(n)], np.uint8) for _ in range(100)]
+    rows = [(2 * i + k, p) for i, x in enumerate(base) for k, p in enumerate((x, flipped(r, x, 1 / 8)))]
+    wanted = {(a, b) for (a, x), (b, y) in zip(rows[::2], rows[1::2], strict=True) if fingerprints.likeness(x, y) >= 0.75}
+    table_of = lambda x: spark.createDataFrame([(i, fingerprints.to_text(p)) for i, p in x], "doc_id long, fingerprint string")
+    got = {(x["a"], x["b"]) for x in fingerprints.near_documents(table_of(rows)).collect()}
+    print("recall at the threshold", len(got & wanted), len(wanted))
+    assert len(wanted) >= 50 and got <= wanted and len(got) >= 0.9 * len(wanted)
+    one, other = base[0], base[0].copy()
+    other[np.flatnonzero(octave[:n] >= 7)[::16]] ^= 1
+    heads = [(s - 20, np.where(octave[:n] == s, one, 1 - one)) for s in range(7, 11)]  # each shares all keys of an octave with the first text
+    assert all(fingerprints.likeness(h, one) < 0.75 for _, h in heads)
+    beside = fingerprints.near_documents(table_of([*heads, (1, one), (2, other)]))
+    assert (1, 2) in {(x["a"], x["b"]) for x in beside.collect()}
+
+
 def test_pii(docs, texts):
     model = pii.fit(docs)
     for r in pii.find(docs, model).collect():
