@@ -7,7 +7,8 @@ The likeness of two fingerprints estimates, octave by octave, the share of steps
 what agrees by chance; steps that only one stream reaches count as different.
 
 near_documents() finds likely pairs by banding: bits sampled from the octave bands are keys, candidates are verified
-by edit distance in blocks of the walk. Nulls count as empty texts; the fingerprint of an empty text is "0". The order
+by the likeness of their fingerprints. Texts aren't compared: verification by edit distance is left out, so different
+texts of one fingerprint stay one class. classes_of() gives every doc_id its class. Nulls count as empty texts; the fingerprint of an empty text is "0". The order
 is ascending doc_id, nulls first, then text; after the last row comes the first. Other columns are ignored; an empty
 table gives an empty result, and a single row is its own next.
 """
@@ -240,10 +241,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_fingerprinted, SCHEMA)
 
 
+def classes_of(prints: DataFrame) -> DataFrame:
+    """doc_id and class, the smallest doc_id of its fingerprint, for every row of (doc_id, fingerprint)."""
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
+    return prints.join(least, "fingerprint").select("doc_id", "class")
+
+
 def near_documents(prints: DataFrame, bits: int = 20, bands: int = 20, least: float = 0.75) -> DataFrame:
     """Pairs (a, b, near) of fingerprints (doc_id, fingerprint) that agree on one band of sampled bits and are verified alike.
 
-    Equal fingerprints are one class, by its smallest doc_id, so copies aren't expanded into pairs.
+    Equal fingerprints are one class, by its smallest doc_id, so copies aren't expanded into pairs; see classes_of().
     A band's key is `bits` bits of one of the last four octaves that the text fills. Classes of one key meet the
     smallest of their key first; members that this leaves in different components then meet each other, so components
     of the pairs are those of all alike pairs that share a key. doc_ids are taken as distinct.

@@ -266,6 +266,11 @@ def test_near_documents_reach_pairs_at_the_threshold_and_beside_an_unlike_head(s
     assert (1, 2) in {(x["a"], x["b"]) for x in beside.collect()}
 
 
+def test_classes_of_give_every_document_its_class(spark):
+    rows = spark.createDataFrame([(5, "8:aa"), (3, "8:aa"), (9, "8:ab"), (7, "0")], "doc_id long, fingerprint string")
+    assert sorted(map(tuple, fingerprints.classes_of(rows).collect())) == [(3, 3), (5, 3), (7, 7), (9, 9)]
+
+
 def test_pii(docs, texts):
     model = pii.fit(docs)
     for r in pii.find(docs, model).collect():
