@@ -31,15 +31,16 @@ def _pairs(literals: DataFrame, values: DataFrame) -> DataFrame:
     return values.crossJoin(F.broadcast(literals.withColumn("probe", clean_literal(F.col("literal"))).filter("probe <> ''")))
 
 
-def trigram_candidates(literals: DataFrame, values: DataFrame, limit: int = PROBE_LIMIT) -> DataFrame:
-    """(literal, candidate, step, similarity): equal values, else prefixed ones, else those of similar trigrams."""
+def trigram_candidates(literals: DataFrame, values: DataFrame, limit: int | None = PROBE_LIMIT) -> DataFrame:
+    """(literal, candidate, step, similarity): equal values, else prefixed ones, else those of similar trigrams; all of them without a limit."""
     probe, candidate = F.col("probe"), F.col("candidate")
     pairs = _pairs(literals, values).withColumn("similarity", trigram_similarity(probe, candidate))
     step = F.when(candidate == probe, 1).when(F.startswith(F.lower(candidate), F.lower(probe)), 2).when(F.col("similarity") >= TRIGRAM_LEAST, 3)
     stepped = pairs.withColumn("step", step).filter("step IS NOT NULL")
     least = stepped.groupBy("literal").agg(F.min("step").alias("step"))
     kept = stepped.join(F.broadcast(least), ["literal", "step"])
-    return top_k(kept, ["literal"], [F.desc("similarity"), F.asc("candidate")], limit, "__n").select("literal", "candidate", "step", "similarity")
+    best = kept if limit is None else top_k(kept, ["literal"], [F.desc("similarity"), F.asc("candidate")], limit, "__n")
+    return best.select("literal", "candidate", "step", "similarity")
 
 
 def prefix_layer(candidate: Column, parts: Column) -> Column:
@@ -59,11 +60,13 @@ def prefix_layer(candidate: Column, parts: Column) -> Column:
     )
 
 
-def prefix_candidates(literals: DataFrame, values: DataFrame, limit: int = PROBE_LIMIT) -> DataFrame:
-    """(literal, candidate, layer): values of the first layer that has any; without word prefixes, all values."""
+def prefix_candidates(literals: DataFrame, values: DataFrame, limit: int | None = PROBE_LIMIT) -> DataFrame:
+    """(literal, candidate, layer): values of the first layer that has any; without word prefixes, all values. No limit gives all of them."""
     pairs = _pairs(literals, values).withColumn("parts", prefixes(F.col("probe"), PREFIX)).withColumn("layer", prefix_layer(F.col("candidate"), F.col("parts"))).filter("layer IS NOT NULL")
     least = pairs.groupBy("literal").agg(F.min("layer").alias("layer"))
-    return top_k(pairs.join(F.broadcast(least), ["literal", "layer"]), ["literal"], [F.asc("candidate")], limit, "__n").select("literal", "candidate", "layer")
+    kept = pairs.join(F.broadcast(least), ["literal", "layer"])
+    first = kept if limit is None else top_k(kept, ["literal"], [F.asc("candidate")], limit, "__n")
+    return first.select("literal", "candidate", "layer")
 
 
 def action(score: Column) -> Column:
@@ -112,7 +115,7 @@ def clean_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t.literal, t.candidate, t.step, round(t.similarity, 4) AS similarity FROM t JOIN m ON m.literal = t.literal AND m.step = t.step""",
 )
 def trigram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trigram_candidates(_literals(spark), distinct_values(table(spark, sf_dir, "part"), "p_name"), limit=1000)
+    found = trigram_candidates(_literals(spark), distinct_values(table(spark, sf_dir, "part"), "p_name"), limit=None)
     return found.select("literal", "candidate", "step", F.round("similarity", 4).alias("similarity"))
 
 
@@ -131,7 +134,7 @@ _ANY = "len(list_filter({ps}, lambda q: starts_with(low, q) OR contains(low, ' '
 )
 def prefix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = spark.createDataFrame([(x,) for x in _PROBES], "literal string")
-    return prefix_candidates(probes, distinct_values(table(spark, sf_dir, "part"), "p_name"), limit=1000)
+    return prefix_candidates(probes, distinct_values(table(spark, sf_dir, "part"), "p_name"), limit=None)
 
 
 _LEV = "cast(floor(100 * (1 - levenshtein(lower(literal), lower(candidate))::double / greatest(length(literal), length(candidate)))) AS integer)"

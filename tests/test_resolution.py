@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from heron.functions import fuzzy
+from heron.operators import resolution
 from heron.operators.resolution import decisions, distinct_values, prefix_candidates, trigram_candidates
 from heron.plans.patch import entities, patched, resolve
 
@@ -97,3 +98,10 @@ def test_resolve(spark, people):
     r = resolve(spark, "SELECT 1 FROM people p WHERE p.full_name = 'zzzz'", {"people": people})
     assert not r.patched and r.unresolved == ["zzzz"]
     assert resolve(spark, "broken (", {"people": people}).sql == "broken ("
+
+
+def test_registered_probes_keep_more_than_a_thousand_candidates(spark, monkeypatch):
+    parts = spark.createDataFrame([(f"small bolt {i:04d}",) for i in range(1200)], "p_name string")
+    monkeypatch.setattr(resolution, "table", lambda spark, sf_dir, name: parts)
+    assert resolution.trigram_query(spark, "").filter("literal = 'small'").count() == 1200
+    assert resolution.prefix_query(spark, "").filter("literal = 'sm bo'").count() == 1200
