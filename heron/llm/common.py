@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from heron.tables import table
@@ -116,6 +117,20 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     trim()
 
 
+def map_rows(docs: DataFrame, run, added: list[StructField] = ()) -> DataFrame:
+    """docs.mapInArrow(run) for columns of any names, dots included; run returns the columns of docs, then `added`."""
+    fields = [*docs.schema.fields, *added]
+    names = [f.name for f in docs.schema.fields]
+    plain = [f"c{i}" for i in range(len(fields))]
+
+    def renamed(batches):
+        for out in run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, plain)
+
+    schema = StructType([StructField(n, f.dataType, True) for n, f in zip(plain, fields, strict=True)])
+    return docs.toDF(*plain[: len(names)]).mapInArrow(renamed, schema).toDF(*[f.name for f in fields])
+
+
 def trim() -> None:
     """Give memory that numpy and Arrow have freed back to the machine; workers are reused from stage to stage."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,8 @@ votes and the candidate's shape as features; candidates that it accepts are adde
 
 Counts of patterns cover all documents; the number of distinct (kind, votes, shape) is bounded by 4 x 3^6 x SHAPES.
 Nulls count as empty texts. Spans are in code points, end exclusive, and don't overlap within a kind; all texts are
-searched whole. Extra columns are ignored. An empty table gives an empty result.
+searched whole, very long ones too, in time linear in their length. Rows that repeat are searched each. mask() keeps
+extra columns of any name, find() ignores them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heron.llm.common import documents
+from heron.llm.common import documents, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS, SHAPES = 6, 64
@@ -36,10 +37,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match wi
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: The wider patterns.
-WIDE_EMAIL = re.compile(r"(?i)[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}|＠) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+")
-WIDE_AT = re.compile(r"[(\[{][Aa][Tt][)\]}]|＠")  # what every match of WIDE_EMAIL holds: saves the search of other texts
+#: The wider patterns. An obfuscated email is a local part before a sign, and a domain from the sign on.
+WIDE_AT = re.compile(r"[(\[{][Aa][Tt][)\]}]|＠")
+WIDE_DOMAIN = re.compile(r"(?i)(?:\(at\)|\[at\]|\{at\}|＠) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+")
 WIDE_NUMBER = re.compile(r"(?<![A-Za-z0-9])(?:\+|00)?[(]?[0-9][0-9().\x20/-]{5,28}[0-9](?![A-Za-z0-9])")
+WIDE_IP = re.compile(r"(?i)(?<![0-9A-Za-z.])[0-9]{1,3}(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\(\.\)|\[\.\]|\{\.\}) ?|\.)[0-9]{1,3}){3}(?![0-9A-Za-z])")
 #: Gazetteers of endings of domains, first digits of payment cards, and country or trunk prefixes of telephone numbers.
 ENDINGS = frozenset("com org net edu gov io info biz de fr es it uk us eu".split())
 CARD_STARTS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36")
@@ -100,8 +102,8 @@ def _votes(kind: str, text: str, start: int, end: int, base: bool) -> str:
         check = "0"
         listed = "+" if body.rpartition(".")[2].lower() in ENDINGS or re.split(r"[\])}] ?", body)[-1].lower() in ENDINGS else "-"
     elif kind == "ip":
-        parts = body.split(".")
-        loose = "+" if len(parts) == 4 else "-"
+        parts = re.findall(r"[0-9]+", body)
+        loose = "+" if len(parts) == 4 and len({re.sub(r"[0-9]+", "", x) for x in re.findall(r"[^0-9]+", body)}) == 1 else "-"
         check = "+" if all(x.isdigit() and len(x) <= 3 and int(x) <= 255 and (x == "0" or x[0] != "0") for x in parts) else "-"
         listed = "-" if parts[0] in ("0", "1", "2", "3") else "0"
     elif kind == "card":
@@ -123,24 +125,55 @@ def _shape(kind: str, body: str) -> int:
     return zlib.crc32(form.encode("utf-8", "replace")) % SHAPES
 
 
+def _wide_emails(text: str):
+    """Spans of a local part, a written-out sign and a domain with a dot, leftmost first; in time linear in the text."""
+    done = 0
+    for sign in WIDE_AT.finditer(text):
+        if sign.start() < done:
+            continue
+        end = sign.start() - (sign.start() > done and text[sign.start() - 1] == " ")
+        lo = end
+        while lo > done and (text[lo - 1].isascii() and (text[lo - 1].isalnum() or text[lo - 1] in "._%+-")):
+            lo -= 1
+        if lo < end and (m := WIDE_DOMAIN.match(text, sign.start())):
+            yield lo, m.end()
+            done = m.end()
+
+
+class Occupied:
+    """Places of a text that spans take; the work is linear in the text and the spans."""
+
+    def __init__(self, text: str, spans=()):
+        self.taken = bytearray(len(text))
+        for _, s, e in spans:
+            self.add(s, e)
+
+    def add(self, s: int, e: int) -> None:
+        self.taken[s:e] = b"\1" * (e - s)
+
+    def meets(self, s: int, e: int) -> bool:
+        return self.taken.find(1, s, e) >= 0
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]):
-    """(kind, start, end, is base, votes, shape); wider candidates don't overlap base spans or each other."""
-    taken = sorted((s, e) for _, s, e in base)
+    """(kind, start, end, is base, votes, shape); wider candidates don't overlap base spans."""
     for kind, s, e in base:
         yield kind, s, e, True, _votes(kind, text, s, e, True), _shape(kind, text[s:e])
-    found = []
-    if WIDE_AT.search(text):
-        found += [("email", *m.span()) for m in WIDE_EMAIL.finditer(text)]
+    found = [("email", s, e) for s, e in _wide_emails(text)]
     if first := DIGIT.search(text):
-        for m in WIDE_NUMBER.finditer(text, max(0, first.start() - 3)):
+        begin = max(0, first.start() - 3)
+        found += [("ip", *m.span()) for m in WIDE_IP.finditer(text, begin)]
+        for m in WIDE_NUMBER.finditer(text, begin):
             n = sum(c.isdigit() for c in m[0])
             if 7 <= n <= 15 and not re.fullmatch(r"[0-9]+\.[0-9]+", m[0]):
                 found.append(("phone", *m.span()))
             if 13 <= n <= 19:
                 found.append(("card", *m.span()))
-    for kind, s, e in found:
-        if not any(a < e and s < b for a, b in taken):
-            yield kind, s, e, False, _votes(kind, text, s, e, False), _shape(kind, text[s:e])
+    if found:
+        taken = Occupied(text, base)
+        for kind, s, e in found:
+            if not taken.meets(s, e):
+                yield kind, s, e, False, _votes(kind, text, s, e, False), _shape(kind, text[s:e])
 
 
 def _count(batches):
@@ -216,9 +249,12 @@ class SpanModel:
                         known[key] = self.probability(*key)
                     if known[key] >= 0.5:
                         more.append((-known[key], kind, s, e))
-            for _, kind, s, e in sorted(more):  # a span is of one kind, the likelier
-                if not any(a < e and s < b for _, a, b in taken):
-                    taken.append((kind, s, e))
+            if more:
+                occupied = Occupied(text, base)
+                for _, kind, s, e in sorted(more):  # a span is of one kind, the likelier
+                    if not occupied.meets(s, e):
+                        occupied.add(s, e)
+                        taken.append((kind, s, e))
         return base, sorted(taken, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -280,7 +316,7 @@ def mask(docs: DataFrame, model: SpanModel) -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

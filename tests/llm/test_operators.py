@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from heron.llm import bpe, components, exact_dedup, fingerprints, language_id, lm_scoring, ngram_join, packing, pii, repeats, sharding
 from heron.tables import table
+from tests.llm.test_units import brute_all
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, node string, label string, key string, bucket string, cell string, shard string, part string"
@@ -152,6 +153,24 @@ def test_language(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
 
 
+def test_language_of_a_text_is_the_same_in_any_layout(spark, monkeypatch):
+    """Every prediction against brute force: integer bundles and the nearest prototype, whatever the partitions and slices."""
+    d = table(spark, DATA, "documents").limit(120).select("doc_id", F.concat(F.lit("- "), "text").alias("text"), "lang")
+    prototypes = language_id.fit(language_id.training_rows(d))
+    one = {r["doc_id"]: r for r in language_id.predict(d.coalesce(1), prototypes).collect()}
+    many = {r["doc_id"]: r for r in language_id.predict(d.orderBy(F.desc("text")).repartition(40), prototypes).collect()}
+    assert one == many
+    names, matrix = language_id._prepared(prototypes)
+    profiles = language_id.Profiles()
+    for r in d.limit(40).collect():
+        v, has = profiles.bundles([(r["text"] or "").lower()])
+        if not has[0]:
+            assert (one[r["doc_id"]]["lang_pred"], one[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        cosines = [float(np.dot(v[0], m) / np.linalg.norm(v[0]) / np.linalg.norm(m)) for m in matrix]
+        assert one[r["doc_id"]]["lang_pred"] == names[int(np.argmax(cosines))] and one[r["doc_id"]]["score"] == pytest.approx(max(cosines), abs=1e-8)
+
+
 def test_language_ignores_labels_of_held_out_rows(spark):
     d = table(spark, DATA, "documents")
     other = d.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, "xx").otherwise(F.col("lang")))
@@ -272,16 +291,27 @@ def test_classes_of_give_every_document_its_class(spark):
 
 
 def test_pii(docs, texts):
+    """Every column of every row against brute force; the long text is among them."""
     model = pii.fit(docs)
     for r in pii.find(docs, model).collect():
-        base = pii.base_spans(texts[r["doc_id"]])
-        assert r["base_sha256"] == hashlib.sha256(pii.listed(base).encode()).hexdigest()
-        assert set(filter(None, pii.listed(base).split(","))) <= set(r["spans"].split(","))
-        assert (r["n_email"], r["n_phone"]) == (sum(k == "email" for k, _, _ in base), sum(k == "phone" for k, _, _ in base))
+        base, every = brute_all(model, texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(pii.listed(base).encode()).hexdigest() and r["spans"] == pii.listed(every)
+        assert tuple(r[f"n_{k}"] for k in pii.KINDS) == tuple(sum(x == k for x, _, _ in base) for k in pii.KINDS)
     masked = {r["doc_id"]: r["text"] for r in pii.mask(docs, model).select("doc_id", "text").collect()}
     assert masked[next(i for i, t in texts.items() if t.startswith("mail me"))] == "mail me: <EMAIL> or <PHONE>"
 
 
+def test_pii_of_the_test_table(spark):
+    d = table(spark, DATA, "documents").select("doc_id", "text")
+    model = pii.fit(d)
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    got = pii.find(d, model).collect()
+    assert len(got) == len(texts) and sum(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in got) > 0
+    for r in got:
+        base, every = brute_all(model, texts[r["doc_id"]])
+        assert r["spans"] == pii.listed(every) and tuple(r[f"n_{k}"] for k in pii.KINDS) == tuple(sum(x == k for x, _, _ in base) for k in pii.KINDS)
+
+
 def test_sharding_is_exact(docs, texts):
     got = sharding.shuffle_into_shards(docs, 7).toPandas()
     sizes = got.groupby("shard").slot.agg(["count", "min", "max", "nunique"])
@@ -410,6 +440,7 @@ def test_odd_rows(spark):
     assert len(same) == 4 and set(same.group_size) == {4} and same.kept.sum() == 1
     assert exact[exact.text_sha256 == hashlib.sha256(b"").hexdigest()].kept.sum() == 1
     assert got["language"][got["language"].doc_id == 1].lang_pred.tolist() == ["und", "und"]
+    assert set(got["language"].lang_pred) == {"und"}  # no lang to learn from
     n = got["ngram"]
     assert n[n.n_shingles == 0].shape[0] == 5 and set(n[(n.doc_id == 4)].component_id) == {3}
     r = got["repeats"]

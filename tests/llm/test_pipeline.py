@@ -54,5 +54,22 @@ def test_repeated_and_missing_ids(spark):
     assert sorted(r["text"].lower() for r in near) == ["another text here", "one two three four", "x y z"]
 
 
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    """Columns named as the stages might name theirs stay as they are; a text of 3 MB goes through whole."""
+    extra = ["row_id", "Row_ID_", "__row", "lang_pred", "LANG_SCORE", "__lang_pred", "keep_id", "component_id", "bucket", "a.b", "node", "n"]
+    long = " ".join(f"w{i}" for i in range(400_000))
+    texts = {1: long, 2: long + " with one more end", 3: "some words of another kind", 4: "Some words of another kind", 5: "mail x.y@z.com now"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *[f"{c}{i}" for c in extra]) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, seen, "").write.parquet(f"{tmp_path}/{name}")
+        seen = spark.read.parquet(f"{tmp_path}/{name}")
+        assert seen.columns == docs.columns
+    rows = {r["doc_id"]: r for r in seen.collect()}
+    assert set(rows) == {1, 4, 5} and rows[1]["text"] == long and rows[5]["text"] == "mail <EMAIL> now"
+    assert all(r[c] == f"{c}{i}" for i, r in rows.items() for c in extra)
+    assert corpus_pipeline.STAGES[-1][1](spark, seen, "").count() == 3
+
+
 def test_shape():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard", "pii", "packing"] and corpus_pipeline.ORACLE_SQL is None

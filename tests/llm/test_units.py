@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -93,10 +94,38 @@ def test_parities_bound_the_difference(a, b):
 
 def test_bundles():
     p = language_id.Profiles()
-    texts = ["hello", "", "123 !", "hello", "HELLO".lower()]
-    v, has = p.bundles("\0".join(texts) + "\0", np.cumsum([len(x) + 1 for x in texts]))
-    assert has.tolist() == [True, False, False, True, True]
-    assert (v[0] == v[3]).all() and (v[0] == v[4]).all() and not v[1].any()
+    texts = ["hello", "", "123 !", "hello", "- hello -", "x", chr(0x30000)]
+    v, has = p.bundles(texts)
+    assert has.tolist() == [True, False, False, True, True, True, True]
+    assert (v[0] == v[3]).all() and (v[0] == v[4]).all() and not v[1].any() and v[5].any() and v[6].any()
+
+
+def brute_bundle(text):
+    """Letter by letter: runs of other characters are one boundary, trigrams are bound and summed."""
+    symbols = [0]
+    for c in text:
+        s = 1 + ord(c) % (language_id.ALPHABET - 1) if c.isalpha() else 0
+        if s or symbols[-1]:
+            symbols.append(s)
+    if symbols[-1]:
+        symbols.append(0)
+    v, out = language_id._vectors().astype(int), np.zeros(language_id.DIMENSIONS)
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        out += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab é-\0日 ", max_size=30), min_size=1, max_size=8), st.randoms())
+def test_bundles_depend_on_the_text_alone(texts, r):
+    """Against brute force, in any order and company."""
+    p = language_id.Profiles()
+    together, _ = p.bundles(texts)
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    shuffled, _ = p.bundles([texts[i] for i in order])
+    for k, i in enumerate(order):
+        assert (shuffled[k] == together[i]).all() and (together[i] == brute_bundle(texts[i])).all()
 
 
 # ---- fingerprints
@@ -153,6 +182,58 @@ def test_base_spans(parts):
     assert pii.base_spans(text) == brute_spans(text)
 
 
+WIDE = re.compile(r"(?i)[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}|＠) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+")
+
+
+def brute_all(model, t):
+    """Base spans, and all spans: wide candidates that meet no base span, the likelier first, each if it meets none before."""
+    base = brute_spans(t)
+    meets = lambda a, b, spans: any(a < e and s < b for _, s, e in spans)
+    found = {("email", *m.span()) for m in WIDE.finditer(t)} | {("ip", *m.span()) for m in pii.WIDE_IP.finditer(t)}
+    for m in pii.WIDE_NUMBER.finditer(t):
+        n = len(re.sub("[^0-9]", "", m[0]))
+        if 7 <= n <= 15 and not re.fullmatch("[0-9]+[.][0-9]+", m[0]):
+            found.add(("phone", *m.span()))
+        if 13 <= n <= 19:
+            found.add(("card", *m.span()))
+    scored = [(-model.probability(k, pii._votes(k, t, s, e, False), pii._shape(k, t[s:e])), k, s, e) for k, s, e in found if not meets(s, e, base)]
+    every = list(base)
+    for p, k, s, e in sorted(scored):
+        if -p >= 0.5 and not meets(s, e, every):
+            every.append((k, s, e))
+    return base, sorted(every, key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+
+
+@pytest.fixture(scope="module")
+def span_model():
+    texts = [f"call +1 (212) 555-0{i:03d} or mail u{i}@h.com, card 4111 1111 1111 1111, host 10.0.{i}.1" for i in range(200)] + [f"tel (212) 555-0{i:03d}, order {i}00-12-33-4" for i in range(90)]
+    counts = Counter((k, v, s, b) for t in texts for k, _, _, b, v, s in pii.candidates(t, pii.base_spans(t)))
+    return pii.SpanModel([(*k, n) for k, n in counts.items()])
+
+
+WIDE_PIECES = [*PIECES, "tel (212) 555-0177", " joe (at) host (dot) com", "[At]", "{dot}", "＠", "10[.]0[.]0[.]7", " ip 192(dot)168(dot)3(dot)9 ", "5500 0000 0000 0004", "00 49 30 1234567", " order ", "7"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(WIDE_PIECES), max_size=25))
+def test_all_spans(span_model, parts):
+    text = "".join(parts)
+    assert span_model.spans(text) == brute_all(span_model, text)
+
+
+def test_written_out_addresses_are_found(span_model):
+    assert span_model.spans("ip 192[.]168[.]3[.]9 now")[1] == [("ip", 3, 20)] and span_model.spans("version 1. 2. 3. 4.")[1] == []
+
+
+def test_spans_of_long_texts_take_linear_time(span_model):
+    numbers = " ".join(f"+49 30 {i:07d}, 10.0.0.{i % 250}, tel (212) 555-{i % 10000:04d};" for i in range(21_000))
+    for text in (numbers, "a" * 500_000 + "(at)" + "b" * 500_000, "x(at)" * 200_000, "(212) 555-0177 " * 70_000):
+        began = time.process_time()
+        base, every = span_model.spans(text)
+        assert time.process_time() - began < 8, (len(text), text[:20])
+        assert set(base) <= set(every)
+
+
 def test_long_runs_stay_linear():
     assert pii.base_spans("1" * 300_000) == [] and pii.base_spans("a@" * 100_000) == [] and pii.base_spans("1." * 100_000)[:1] == [("ip", 0, 7)]
 
