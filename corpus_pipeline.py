@@ -1,61 +1,75 @@
 """A pipeline over the documents: language, exact copies, near copies, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
-written as Parquet and read again as the next stage's docs. All but the last return the columns of documents. Rows
-with null or repeated doc_ids are told apart inside a stage by surrogate ids in the order of doc_id.
+written as Parquet and read again as the next stage's docs. All but the last return the columns of documents, further
+columns of any name included. Rows with null or repeated doc_ids are told apart inside a stage by surrogate ids in the
+order of doc_id.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.llm import exact_dedup, language_id, ngram_join, packing, pii
 from heron.llm.common import cut, documents, with_checkpoint_dir
 
-ROW = "__row"
 #: Up to so many rows to drop, their ids are broadcast (8 bytes each); beyond, they meet the documents in a shuffle.
 LISTED = 200_000
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """docs with ROW: the doc_id where it tells rows apart, else a unique number in the order of doc_id, nulls first."""
-    ids = F.col("doc_id").cast("long")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    """The columns of docs, names with dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a new column, and its name: the doc_id where it tells rows apart, else a unique number in the order of doc_id, nulls first."""
+    row = _free(docs, "row_id")
+    repeated = docs.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
-        return docs.withColumn(ROW, ids)
-    return cut(docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn(ROW, F.monotonically_increasing_id()))
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row
+    return cut(docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn(row, F.monotonically_increasing_id())), row
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows that dropped (ROW) names."""
-    dropped = cut(dropped.select(ROW))
+def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """docs without the rows that dropped (row) names, and without that column."""
+    dropped = cut(dropped.select(row))
     if dropped.count() <= LISTED:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, ROW, "left_anti").drop(ROW)
+    return docs.join(dropped, row, "left_anti").drop(row)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents without a recognisable language (`und`) go; an unknown lang is filled in."""
     prototypes = language_id.fit(language_id.training_rows(docs))
-    found = language_id.with_language(docs, prototypes).filter(F.col("__lang_pred") != language_id.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
+    pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
+    found = language_id.with_language(docs, prototypes, pred, score).filter(F.col(pred) != language_id.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(*_own(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of equal texts the one with the largest doc_id stays."""
-    own = _identified(docs)
-    judged = exact_dedup.exact_duplicates(own.select(F.col(ROW).alias("doc_id"), "text"))
-    return _without(own, judged.filter("NOT kept").select(F.col("doc_id").alias(ROW))).select(*docs.columns)
+    own, row = _identified(docs)
+    judged = exact_dedup.exact_duplicates(own.select(F.col(row).alias("doc_id"), "text"))
+    return _without(own, row, judged.filter("NOT kept").select(F.col("doc_id").alias(row))).select(*_own(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of each component of near copies the smallest doc_id stays; documents without words stay."""
-    own = _identified(docs)
-    judged = ngram_join.shingle_components(own.select(F.col(ROW).alias("doc_id"), "text"))
-    return _without(own, judged.filter("doc_id <> component_id").select(F.col("doc_id").alias(ROW))).select(*docs.columns)
+    own, row = _identified(docs)
+    judged = ngram_join.shingle_components(own.select(F.col(row).alias("doc_id"), "text"))
+    return _without(own, row, judged.filter("doc_id <> component_id").select(F.col("doc_id").alias(row))).select(*_own(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +78,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return masked.select(*docs.columns)
+    return masked.select(*_own(docs))
 
 
 def pack_into_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
