@@ -5,7 +5,8 @@ chooses the bucket boundaries that minimise total padding; inside each bucket, b
 fit the token budget when padded to the bucket's boundary. Documents longer than the budget are batches of their own:
 nothing is cut or dropped.
 
-A null or empty text has length 0. Rows that repeat are packed each. Fewer distinct lengths than buckets give one
+A null or empty text has length 0; very long texts are counted whole. Rows that repeat, null doc_ids among them, are
+packed each and told apart by their place in the input. Fewer distinct lengths than buckets give one
 bucket each. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -72,14 +73,14 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Dat
 
     The histogram has one row per distinct length: what reaches the driver grows with the longest text, not with the rows.
     """
-    lengths = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens")))
+    lengths = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("row")))
     histogram = [(r["n_tokens"], r["count"]) for r in lengths.groupBy("n_tokens").count().collect()]
     bounds = boundaries(histogram, buckets) or [0]
     # bounds are few: a fold of comparisons
     bucket = sum((F.when(F.col("n_tokens") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0)).cast("int")
     cells = max(8, -(-sum(n for _, n in histogram) // CELL_ROWS))
-    dealt = lengths.withColumn("bucket", bucket).withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(cells)))
-    ranked = gapless_rank(dealt, ["bucket"], "cell", [F.xxhash64("doc_id", F.lit(2)), F.col("doc_id"), F.col("n_tokens")], "rank")
+    dealt = lengths.withColumn("bucket", bucket).withColumn("cell", F.pmod(F.xxhash64("doc_id", "row", F.lit(1)), F.lit(cells)))
+    ranked = gapless_rank(dealt, ["bucket"], "cell", [F.xxhash64("doc_id", "row", F.lit(2)), F.col("row")], "rank")
     top = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(top, F.lit(1))))
     return ranked.select(

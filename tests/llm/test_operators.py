@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -322,20 +323,51 @@ def test_sharding_is_exact(docs, texts):
         assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
 
 
-def test_draws_follow_the_hypergeometric_law(spark):
-    """Mean, variance and extremes of 3,000 draws; and a matrix has the exact margins."""
-    expression = sharding._draw("n", "good", "total", "u")
-    row = spark.range(3000).select(F.lit(40).cast("long").alias("n"), F.lit(30).cast("long").alias("good"), F.lit(100).cast("long").alias("total"), F.rand(5).alias("u"))
-    got = row.selectExpr(f"{expression} AS k").agg(F.avg("k"), F.var_samp("k"), F.min("k"), F.max("k")).first()
-    variance = 40 * 0.3 * 0.7 * 60 / 99
-    assert abs(got[0] - 12) < 5 * math.sqrt(variance / 3000) and abs(got[1] / variance - 1) < 0.15 and got[2] >= 0 and got[3] <= 30
-    for n, good, total in ((5, 5, 5), (0, 3, 9), (4, 0, 9), (9, 9, 10), (1, 1, 1)):
-        k = spark.range(20).select(F.lit(n).cast("long").alias("n"), F.lit(good).cast("long").alias("good"), F.lit(total).cast("long").alias("total"), F.rand(1).alias("u")).selectExpr(f"{expression} AS k")
-        assert k.filter(f"k < {max(0, n + good - total)} OR k > {min(n, good)} OR k IS NULL").isEmpty()
-    sizes = spark.createDataFrame([(p, 10 * p + 1) for p in range(9)], "part long, n long")
-    m = sharding.communication_matrix(sizes, 4, 3).withColumn("c", F.col("upto") - F.col("start")).toPandas()
-    assert m.groupby("part").c.sum().to_dict() == {p: 10 * p + 1 for p in range(9)}
-    assert sorted(m.groupby("shard").c.sum()) == [92, 92, 92, 93]
+def hypergeometric(n, good, total):
+    """Probabilities by their logarithms."""
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    return {k: math.exp(log(good, k) + log(total - good, n - k) - log(total, n)) for k in range(max(0, n + good - total), min(n, good) + 1)}
+
+
+@pytest.mark.parametrize(("n", "good", "total"), [(40, 30, 100), (60, 80, 100), (300, 500, 1000), (900, 300, 1000), (20_000, 2_500, 640_000), (700, 650, 1000), (12, 40, 90), (5, 5, 5), (0, 3, 9), (4, 0, 9), (9, 9, 10), (1, 1, 1), (10**9, 2 * 10**9, 10**10)])
+def test_draws_follow_the_hypergeometric_law(spark, n, good, total):
+    """Chi-square of 20,000 draws over values that are likely enough; large numbers by mean and variance."""
+    many = 20_000
+    rows = spark.range(many).select(F.lit(n).cast("long").alias("a"), F.lit(good).cast("long").alias("b"), F.lit(total).cast("long").alias("c"), F.col("id"))
+    got = Counter({r["k"]: r["count"] for r in rows.selectExpr(sharding._draw("a", "b", "c", "id") + " AS k").groupBy("k").count().collect()})
+    assert None not in got and min(got) >= max(0, n + good - total) and max(got) <= min(n, good)
+    if total >= 10**9:
+        share = good / total
+        mean, variance = n * share, n * share * (1 - share) * (total - n) / (total - 1)
+        z = [((k - mean) / math.sqrt(variance), m) for k, m in got.items()]
+        assert abs(sum(x * m for x, m in z) / many) < 0.05 and abs(sum(x * x * m for x, m in z) / many - 1) < 0.06
+        return
+    p = hypergeometric(n, good, total)
+    bins, rest = [], [0.0, 0]
+    for k in p:
+        if p[k] * many >= 10:
+            bins.append((p[k] * many, got[k]))
+        else:
+            rest = [rest[0] + p[k] * many, rest[1] + got[k]]
+    bins.append((max(rest[0], 1e-9), rest[1])) if rest[0] > 1 else None
+    chi = sum((o - e) ** 2 / e for e, o in bins)
+    assert chi < len(bins) + 5 * math.sqrt(2 * len(bins)) + 1
+
+
+def test_matrix_has_exact_margins_over_many_parts(spark):
+    """300 parts are two levels of the tree, 10,000 are four; no task sees them all."""
+    for parts in (9, 300, 10_000):
+        sizes = spark.range(parts).select(F.col("id").alias("part"), (F.col("id") % 900 + 1).alias("n"))
+        began = time.monotonic()
+        rows = sharding.communication_matrix(sizes, 4, 3).collect()
+        assert parts < 10_000 or time.monotonic() - began < 40
+        assert {r["part"]: sum(r["gets"]) for r in rows} == {p: p % 900 + 1 for p in range(parts)}
+        total = sum(p % 900 + 1 for p in range(parts))
+        per = [sum(r["gets"][s] for r in rows) for s in range(4)]
+        assert per == [total // 4 + (s < total % 4) for s in range(4)] and all(min(r["gets"]) >= 0 for r in rows)
+        if parts >= 300:  # the counts of a part follow their law too: sums of squared, scaled differences
+            z = [(r["gets"][s] - n / 4) / math.sqrt(n * 3 / 16) for r in rows if (n := sum(r["gets"])) > 200 for s in range(4)]
+            assert abs(sum(x * x for x in z) / len(z) - 1) < 0.1
 
 
 def test_sharding_plan_is_native(docs):
