@@ -1,21 +1,26 @@
 """Operator 4, language-model scoring with a hashed maximum-entropy model.
 
-Tokens are words after lower-casing A-Z, then one end per document. The model factors a token's probability by class:
-a softmax over 64 classes, given the hashed features of the token before (bigram), the one before that (skip) and both
-(trigram), times a softmax over the words of the class given bigram and skip features. The HEAD most frequent words
-have classes of their own; all others fall into classes by shape, inside which a word has its smoothed share of
-training tokens.
+Tokens are words after lower-casing A-Z, then one end per document. The model factors a token's probability by classes:
+a tree of softmaxes over FAN children of about equal training counts, ordered by shape (length, last byte, bytes beyond
+ASCII) and frequency, so that a word takes about log(N / count) / log(FAN) steps. Each softmax adds to its prior, the
+children's training counts, weight rows that are found by hashing its node with a feature: the token before (bigram),
+the one before that (skip), and at the root both (trigram). All words of the RANKED most frequent that occur LEARNED
+times have leaves of their own; the others share leaves by shape, inside which a word has its smoothed share of training tokens.
+
+What is learnt grows with the input: leaves with the words that occur often enough, up to RANKED; weight rows with
+the training tokens, one for each ROW_TOKENS, up to 2^MOST_BITS, which bounds what is broadcast; counts with all words.
 
 Training goes over all training documents once, in ROUNDS: in a round each task takes its part of the documents through
 minibatch gradient steps from the common weights, and the steps of all tasks are averaged, row by row, by how often a
-row was used. Scoring runs over sparse batches in numpy.
+row was used, first within groups of TOGETHER tasks, then over groups. Scoring runs over sparse batches in numpy.
 
 Counts of all training tokens are exact. They stay in hash buckets; only the RANKED most frequent words, a bounded
 table, reach every worker, and the other words of each text meet their counts in their bucket. Words are told apart
 by 64-bit hashes.
 
-Nulls count as empty texts (one token, the end). A null doc_id isn't held out. With nothing to learn from, N and V are
-0 and every class is as likely as its words allow. Extra columns are ignored. An empty table gives an empty result.
+Nulls count as empty texts (one token, the end). A null doc_id isn't held out. Rows that repeat are learnt and scored
+each; very long texts are scored whole, in slices of tokens. With nothing to learn from, N and V are 0 and all shapes are equally
+likely. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +35,19 @@ from heron.llm.words import mix, words
 
 END = np.uint64(0x9D5C01F3A7E24B61)
 START = np.uint64(0x3C6EF372FE94F82B)
-HEAD, RANKED, CLASSES, WIDEST, SHAPES = 1024, 200_000, 64, 64, 16
-#: Rows of the hashed features: of the class softmax (bigram, skip, trigram) and of the word softmax (bigram, skip).
-CLASS_BITS, WORD_BITS = 12, 10
-ROUNDS, BATCH, RATE = 3, 4096, 0.25
+RANKED, LEARNED, SHAPES, FAN = 200_000, 16, 16, 16
+#: Features of the root and of other nodes; the first ones of bigram, skip, trigram.
+AT_ROOT, BELOW = 3, 2
+#: Training tokens for a row of weights; rows are 2^LEAST_BITS to 2^MOST_BITS.
+ROW_TOKENS, LEAST_BITS, MOST_BITS = 16, 12, 18
+ROUNDS, BATCH, RATE = 3, 4096, 0.6
 #: Tokens that are scored at once; it doesn't change what is learnt.
 SLICE = 8192
 BUCKET_WORDS = 1_000_000
-BLOCKS = 16
+#: Rows of weights that are averaged together, tasks whose changes are averaged before they meet others.
+BLOCK, TOGETHER = 4096, 64
+
+_NODE, _ROW = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 class Tokens:
@@ -62,37 +72,65 @@ class Tokens:
         before[begin] = START
         earlier = np.concatenate([[START], before[:-1]])
         earlier[begin] = START
-        bits = lambda x, salt, n: (mix(x + np.uint64(salt)) >> np.uint64(64 - n)).astype(np.int32)
-        self.features = [bits(before, 1, CLASS_BITS), bits(earlier, 2, CLASS_BITS), bits(before * np.uint64(3) + earlier, 3, CLASS_BITS)]
-        self.word_features = [self.features[0] >> (CLASS_BITS - WORD_BITS), self.features[1] >> (CLASS_BITS - WORD_BITS)]
+        bits = lambda x, salt: (mix(x + np.uint64(salt)) >> np.uint64(32)).astype(np.uint32)
+        self.features = [bits(before, 1), bits(earlier, 2), bits(before * np.uint64(3) + earlier, 3)]
+
+
+def class_tree(counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree over leaves in the given order, each node of which deals its leaves to FAN children of about equal counts.
+
+    Parent and place among its children of every leaf, then of every inner node; the root is the first of these. Also
+    the logarithms of the children's shares, by inner node.
+    """
+    n = len(counts)
+    before = np.concatenate([[0], np.cumsum(counts[order])])
+    parent, slot = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    spans, above, shares = [(0, n)], [(0, 0)], []
+    for lo, hi in spans:  # grows while it's gone through
+        node = n + len(shares)
+        if hi - lo <= FAN:
+            cuts = np.arange(lo, hi + 1)
+        else:
+            k = np.arange(FAN - 1)
+            even = np.searchsorted(before, before[lo] + (before[hi] - before[lo]) * (k + 1) / FAN) - k
+            cuts = np.concatenate([[lo], np.clip(np.maximum.accumulate(even), lo + 1, hi - FAN + 1) + k, [hi]])
+        own = np.zeros(FAN)
+        own[: len(cuts) - 1] = np.diff(before[cuts])
+        shares.append(own / own.sum())
+        for place, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if b - a == 1:
+                parent[order[a]], slot[order[a]] = node, place
+            else:
+                spans.append((a, b))
+                above.append((node, place))
+    parent, slot = (np.concatenate([x, np.array([y[k] for y in above], np.int32)]) for k, x in enumerate((parent, slot)))
+    shares = np.array(shares)
+    return parent, slot, np.where(shares > 0, np.log(np.maximum(shares, 1e-300)), -1e4).astype(np.float32)
 
 
 class Vocabulary:
-    """The most frequent words, most frequent first, and the classes of the first HEAD."""
+    """The most frequent words, most frequent first, and the tree over the first `head` of them and the shapes."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, shapes: np.ndarray, shape_totals: np.ndarray, n: int, v: int):
-        self.n, self.v = n, v
-        head = min(HEAD, len(hashes))
-        mass, total, starts = 0, max(1, int(counts[:head].sum())), [0] if head else []
-        for i in range(head):
-            most = CLASSES - SHAPES
-            if i > starts[-1] and (mass >= total / 24 or i - starts[-1] >= WIDEST) and len(starts) < most:
-                starts.append(i)
-                mass = 0
-            mass += int(counts[i])
-        self.bounds = [*starts, head]
-        self.head_classes = len(starts)
-        self.counts = counts
-        self.widths = np.diff(self.bounds) if head else np.zeros(0, np.int64)
+        self.n, self.v, self.counts = n, v, counts
+        self.head = int((counts >= LEARNED).sum())
         order = np.argsort(hashes)
         self.by_hash, self.place = hashes[order], order.astype(np.int32)
         # training tokens and distinct words by shape, without the head
         rest = shape_totals.copy()
-        np.subtract.at(rest, (0, shapes[:head]), counts[:head])
-        np.subtract.at(rest, (1, shapes[:head]), 1)
+        np.subtract.at(rest, (0, shapes[: self.head]), counts[: self.head])
+        np.subtract.at(rest, (1, shapes[: self.head]), 1)
         self.log_share = -np.log10(rest[0] + rest[1] + 1.0)
-        self.class_counts = np.concatenate([[counts[a:b].sum() for a, b in zip(self.bounds, self.bounds[1:], strict=False)] if head else [], rest[0]]).astype(float) + 1.0
-        self.class_of_place = np.repeat(np.arange(self.head_classes), self.widths)
+        kinds = np.concatenate([shapes[: self.head], np.arange(SHAPES)])
+        self.leaves = self.root = self.head + SHAPES
+        self.parent, self.slot, self.priors = class_tree(np.concatenate([counts[: self.head], rest[0]]) + 1, np.argsort(kinds, kind="stable"))
+        top = np.arange(len(self.parent))  # the child of the root that an own node is below of, or is
+        for i in range(self.root + 1, len(top)):
+            if self.parent[i] != self.root:
+                top[i] = top[self.parent[i]]
+        own = self.parent[: self.leaves]
+        self.top = np.where(own == self.root, self.slot[: self.leaves], self.slot[top[own]])
+        self.bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, n / ROW_TOKENS))))))
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 if it isn't among the most frequent."""
@@ -101,71 +139,62 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.by_hash, hashes), len(self.by_hash) - 1)
         return np.where(self.by_hash[at] == hashes, self.place[at], -1)
 
-    def classes(self, places: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        out = self.head_classes + shapes
-        head = (places >= 0) & (places < self.bounds[-1]) if self.head_classes else np.zeros(len(places), bool)
-        out[head] = self.class_of_place[places[head]]
-        return out
-
+    def leaves_of(self, places: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        return np.where((places >= 0) & (places < self.head), places, self.head + shapes)
 
-def parts_of(vocabulary: Vocabulary) -> dict[str, tuple[int, int]]:
-    """Shapes of the weights: class features, then word features for each class of several words."""
-    out = {f"c{k}": (1 << CLASS_BITS, vocabulary.head_classes + SHAPES) for k in range(3)}
-    for c, width in enumerate(vocabulary.widths.tolist()):
-        if width > 1:
-            out |= {f"w{c}.{k}": (1 << WORD_BITS, width) for k in range(2)}
-    return out
+    def above(self, leaves: np.ndarray):
+        """(which leaves, node, child) for the steps below the root, all leaves that have one more at once."""
+        at, now = np.arange(len(leaves)), leaves
+        while True:
+            node = self.parent[now]
+            keep = np.flatnonzero(node != self.root)
+            if not len(keep):
+                return
+            at, child, now = at[keep], self.slot[now[keep]], node[keep]
+            yield at, now, child
 
 
 class Model:
-    """Weights: a prior from counts, and sums of feature rows."""
+    """Weights: rows of FAN numbers, found by hashes of a node and a feature."""
 
-    def __init__(self, vocabulary: Vocabulary, weights: dict[str, np.ndarray] | None = None):
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray | None = None):
         self.vocabulary = vocabulary
-        self.weights = weights if weights is not None else {k: np.zeros(s, np.float32) for k, s in parts_of(vocabulary).items()}
-        self.class_bias = np.log(vocabulary.class_counts / vocabulary.class_counts.sum()).astype(np.float32)
-        self.word_bias = [np.log((vocabulary.counts[a:b] + 1.0) / (vocabulary.counts[a:b] + 1.0).sum()).astype(np.float32) for a, b in zip(vocabulary.bounds, vocabulary.bounds[1:], strict=False)]
-
-    @staticmethod
-    def _softmax(parts: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        """Softmax of the sum of the parts; the first part is used up. Large logits are shifted only if any are too large."""
-        logits = parts[0]
-        for x in parts[1:]:
-            logits += x
-        logits += bias
+        self.weights = np.zeros((1 << vocabulary.bits, FAN), np.float32) if weights is None else weights
+
+    def rows(self, features: list[np.ndarray], node) -> list[np.ndarray]:
+        shift = np.uint32(32 - self.vocabulary.bits)
+        salt = np.asarray(node, np.uint32) * _NODE
+        return [((f + salt) * _ROW) >> shift for f in features]
+
+    def probabilities(self, rows: list[np.ndarray], node) -> np.ndarray:
+        """Softmax over the children of a node, or of one node each."""
+        logits = self.weights.take(rows[0], axis=0)
+        for r in rows[1:]:
+            logits += self.weights.take(r, axis=0)
+        logits += self.vocabulary.priors[node - self.vocabulary.leaves]
         e = np.exp(logits)
-        total = e @ np.ones(e.shape[1], np.float32)
+        total = e @ np.ones(FAN, np.float32)
         if not (np.isfinite(total).all() and (total > 1e-30).all()):
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             total = e.sum(axis=1)
         e /= total[:, None]
         return e
 
-    def class_probabilities(self, features) -> np.ndarray:
-        return self._softmax([self.weights[f"c{k}"].take(features[k], axis=0) for k in range(3)], self.class_bias)
-
-    def word_probabilities(self, c: int, features) -> np.ndarray:
-        return self._softmax([self.weights[f"w{c}.{k}"].take(features[k], axis=0) for k in range(2)], self.word_bias[c])
-
-    def log10(self, tokens: Tokens, places: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; of a word outside the head, without its count inside the class."""
-        out = np.empty(len(classes))
-        for lo in range(0, len(classes), SLICE):
-            part = slice(lo, lo + SLICE)
-            p = self.class_probabilities([f[part] for f in tokens.features])
-            out[part] = np.log10(p[np.arange(len(p)), classes[part]])
+    def log10(self, tokens: Tokens, leaves: np.ndarray) -> np.ndarray:
+        """log10 probability of each token; of a word without a leaf, without its count inside its shape."""
         v = self.vocabulary
-        rest = classes >= v.head_classes
-        out[rest] += v.log_share[classes[rest] - v.head_classes]
-        order = np.argsort(classes.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(v.head_classes + 1))
-        for c in range(v.head_classes):
-            if v.widths[c] > 1:
-                own = order[bounds[c] : bounds[c + 1]]
-                for lo in range(0, len(own), SLICE):
-                    mine = own[lo : lo + SLICE]
-                    p = self.word_probabilities(c, [f[mine] for f in tokens.word_features])
-                    out[mine] += np.log10(p[np.arange(len(p)), places[mine] - v.bounds[c]])
+        out = np.empty(len(leaves))
+        for lo in range(0, len(leaves), SLICE):
+            own = leaves[lo : lo + SLICE]
+            features = [f[lo : lo + SLICE] for f in tokens.features]
+            p = self.probabilities(self.rows(features[:AT_ROOT], v.root), v.root)
+            logs = np.log10(p[np.arange(len(own)), v.top[own]].astype(np.float64))
+            for at, node, child in v.above(own):
+                p = self.probabilities(self.rows([f[at] for f in features[:BELOW]], node), node)
+                logs[at] += np.log10(p[np.arange(len(at)), child].astype(np.float64))
+            out[lo : lo + SLICE] = logs
+        rest = leaves >= v.head
+        out[rest] += v.log_share[leaves[rest] - v.head]
         return out
 
 
@@ -173,53 +202,46 @@ class Trainer:
     """Minibatch steps from given weights, with step sizes by element that fall with the gradients seen."""
 
     def __init__(self, model: Model):
-        self.model = Model(model.vocabulary, {k: w.copy() for k, w in model.weights.items()})
-        self.seen = {k: np.ones(w.shape, np.float32) for k, w in model.weights.items()}
-        self.used = {k: np.zeros(len(w), np.int64) for k, w in model.weights.items()}
-
-    def _apply(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows.astype(np.uint16), kind="stable")
-        ordered = rows[order]
+        self.model = Model(model.vocabulary, model.weights.copy())
+        self.seen = np.ones(model.weights.shape, np.float32)
+        self.used = np.zeros(len(model.weights), np.int64)
+
+    def _apply(self, rows: list[np.ndarray], gradient: np.ndarray) -> None:
+        """One step on the sums of the gradient by row; a token has a row for each feature."""
+        # row and token in one number: its order groups rows
+        packed = np.concatenate([(r.astype(np.uint64) << np.uint64(12)) | np.arange(len(r), dtype=np.uint64) for r in rows])
+        packed.sort()
+        ordered = packed >> np.uint64(12)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        at = ordered[first]
-        total = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
-        seen = self.seen[name].take(at, axis=0)
+        at = ordered[first].astype(np.int64)
+        total = np.add.reduceat(gradient.take((packed & np.uint64(BATCH - 1)).astype(np.int64), axis=0), first, axis=0)
+        seen = self.seen.take(at, axis=0)
         seen += total * total
-        self.seen[name][at] = seen
+        self.seen[at] = seen
         total *= RATE
         total /= np.sqrt(seen, out=seen)
-        self.model.weights[name][at] -= total
-        self.used[name][at] += np.diff(first, append=len(rows))
-
-    def step(self, tokens: Tokens, classes: np.ndarray, part: slice) -> None:
+        self.model.weights[at] -= total
+        self.used[at] += np.diff(first, append=len(packed))
+
+    def _towards(self, features, node, child) -> None:
+        rows = self.model.rows(features, node)
+        p = self.model.probabilities(rows, node)
+        p[np.arange(len(p)), child] -= 1
+        self._apply(rows, p)
+
+    def step(self, tokens: Tokens, leaves: np.ndarray, part: slice) -> None:
+        """One minibatch of at most BATCH tokens: the root, then the nodes on the way to each token's leaf."""
+        v, own = self.model.vocabulary, leaves[part]
         features = [f[part] for f in tokens.features]
-        p = self.model.class_probabilities(features)
-        p[np.arange(len(p)), classes[part]] -= 1
-        for k in range(3):
-            self._apply(f"c{k}", features[k], p)
-
-    def words(self, tokens: Tokens, places: np.ndarray, classes: np.ndarray) -> None:
-        v = self.model.vocabulary
-        order = np.argsort(classes.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(v.head_classes + 1))
-        for c in range(v.head_classes):
-            own = order[bounds[c] : bounds[c + 1]]
-            if v.widths[c] > 1:
-                for lo in range(0, len(own), BATCH):
-                    mine = own[lo : lo + BATCH]
-                    features = [f[mine] for f in tokens.word_features]
-                    p = self.model.word_probabilities(c, features)
-                    p[np.arange(len(p)), places[mine] - v.bounds[c]] -= 1
-                    for k in range(2):
-                        self._apply(f"w{c}.{k}", features[k], p)
+        self._towards(features[:AT_ROOT], v.root, v.top[own])
+        for at, node, child in v.above(own):
+            self._towards([f[at] for f in features[:BELOW]], node, child)
 
     def learn(self, tokens: Tokens) -> None:
         v = self.model.vocabulary
-        places = v.places(tokens.hash)
-        classes = v.classes(places, tokens.shape)
-        for lo in range(0, len(classes), BATCH):
-            self.step(tokens, classes, slice(lo, lo + BATCH))
-        self.words(tokens, places, classes)
+        leaves = v.leaves_of(v.places(tokens.hash), tokens.shape)
+        for lo in range(0, len(leaves), BATCH):
+            self.step(tokens, leaves, slice(lo, lo + BATCH))
 
 
 def _counted(buckets: int):
@@ -272,59 +294,78 @@ def _summed(parts):
     return h[first], shape[first], np.add.reduceat(n, first) if len(h) else n
 
 
+CHANGES = "block int, task int, at binary, used binary, change binary"
+
+
+def _blocks(task: int, used: np.ndarray, change: np.ndarray):
+    """Rows of CHANGES: the rows of weights that were used, in blocks."""
+    rows = []
+    for b in range(0, len(used), BLOCK):
+        at = np.flatnonzero(used[b : b + BLOCK])
+        if len(at):
+            rows.append((b // BLOCK, task, at.astype(np.uint16).tobytes(), used[b + at].astype(np.int64).tobytes(), change[b + at].tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "task", "at", "used", "change"])
+
+
 def _updates(held):
     """A task's change of the weights and uses of each row, in blocks of rows."""
 
     def run(batches):
         model = Model(*held.value)
         trainer = Trainer(model)
-        tokens = 0
         for batch in batches:
             for _, starts, ends, raw in byte_slices(batch, "text"):
-                t = Tokens(raw, starts, ends)
-                tokens += len(t.hash)
-                trainer.learn(t)
-        if not tokens:
-            return
+                trainer.learn(Tokens(raw, starts, ends))
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
-        rows = []
-        for name, w in trainer.model.weights.items():
-            change = w - model.weights[name]
-            for b in range(BLOCKS):
-                part = slice(b * len(w) // BLOCKS, (b + 1) * len(w) // BLOCKS)
-                used = trainer.used[name][part]
-                at = np.flatnonzero(used)
-                if len(at):
-                    rows.append((b, task, name, at.astype(np.uint16).tobytes(), used[at].astype(np.int64).tobytes(), change[part][at].astype(np.float16).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(3, 6)], ["block", "task", "name", "at", "used", "change"])
+        change = trainer.model.weights
+        change -= model.weights
+        yield from _blocks(TaskContext.get().partitionId(), trainer.used, change.astype(np.float16))
 
     return run
 
 
-def _averaged(sizes: dict[str, tuple[int, int]]):
-    """Changes of a block averaged over tasks, by how often each used a row; a task's rows come in the order of tasks."""
+def _averaged(together: int):
+    """Changes of a block averaged over tasks of a group, by how often each used a row; rows come in the order of block, task."""
 
     def run(batches):
-        total: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
+        held, sums, uses = None, None, None
+
+        def done():
+            at = np.flatnonzero(uses)
+            mean = (sums[at] / uses[at, None]).astype(np.float32)
+            values = (*held, at.astype(np.uint16).tobytes(), uses[at].tobytes(), mean.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "task", "at", "used", "change"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                b, _, name, at, used, change = (c[i].as_py() for c in batch.columns)
-                rows, width = sizes[name]
-                if (b, name) not in total:
-                    total[b, name] = np.zeros((rows // BLOCKS, width)), np.zeros(rows // BLOCKS)
-                sums, uses = total[b, name]
+                block, task, at, used, change = (c[i].as_py() for c in batch.columns)
+                if (block, task // together) != held:
+                    if held is not None:
+                        yield done()
+                    held, sums, uses = (block, task // together), np.zeros((BLOCK, FAN)), np.zeros(BLOCK, np.int64)
                 at, used = np.frombuffer(at, np.uint16), np.frombuffer(used, np.int64)
-                sums[at] += np.frombuffer(change, np.float16).reshape(-1, width).astype(np.float64) * used[:, None]
+                kind = np.float16 if len(change) == 2 * FAN * len(at) else np.float32  # of a task, of a group
+                sums[at] += np.frombuffer(change, kind).reshape(-1, FAN).astype(np.float64) * used[:, None]
                 uses[at] += used
-        for (b, name), (sums, uses) in total.items():
-            mean = (sums / np.maximum(1, uses)[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([name]), pa.array([mean.tobytes()], pa.binary())], ["block", "name", "mean"])
+        if held is not None:
+            yield done()
 
     return run
 
 
+def _mean(changes: DataFrame, tasks: int, blocks: int, together: int = TOGETHER) -> DataFrame:
+    """CHANGES of all tasks as one row a block. So many tasks meet at a time at most, level by level."""
+    while True:
+        groups = max(1, -(-tasks // together))
+        dealt = changes.repartition(blocks * groups, "block", F.expr(f"task div {together}")) if groups > 1 else changes.repartitionById(blocks, F.col("block"))
+        changes = dealt.sortWithinPartitions("block", "task").mapInArrow(_averaged(together), CHANGES)
+        if groups == 1:
+            return changes
+        tasks = groups
+
+
 def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     """The model of rows (doc_id, text), and its word counts: one row per bucket with hashes and counts."""
     spark = training.sparkSession
@@ -343,17 +384,13 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     top = np.lexsort((h, -n))[:RANKED]
     vocabulary = Vocabulary(h[top], n[top], shape[top].astype(np.int64), totals, int(totals[0].sum()), int(v))
     model = Model(vocabulary)
-    sizes = parts_of(vocabulary)
     for r in range(ROUNDS if vocabulary.n else 0):
         held = spark.sparkContext.broadcast((vocabulary, model.weights))
         part = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(44)), F.lit(ROUNDS)) == r).select("text")
-        changes = part.mapInArrow(_updates(held), "block int, task int, name string, at binary, used binary, change binary")
-        dealt = changes.repartitionById(BLOCKS, F.col("block")).sortWithinPartitions("name", "task")
-        for row in dealt.mapInArrow(_averaged(sizes), "block int, name string, mean binary").collect():  # as many numbers as weights
-            w = model.weights[row["name"]]
-            lo = row["block"] * len(w) // BLOCKS
-            mean = np.frombuffer(row["mean"], np.float32).reshape(-1, w.shape[1])
-            w[lo : lo + len(mean)] += mean
+        means = _mean(part.mapInArrow(_updates(held), CHANGES), part.rdd.getNumPartitions(), len(model.weights) // BLOCK)
+        for row in means.collect():  # as many numbers as weights at most
+            at = row["block"] * BLOCK + np.frombuffer(row["at"], np.uint16).astype(np.int64)
+            model.weights[at] += np.frombuffer(row["change"], np.float32).reshape(-1, FAN)
         held.destroy()
         release(spark)
     return model, tables.select("bucket", "h", "n")
@@ -378,12 +415,12 @@ def _scored(held, buckets: int):
             for lo, starts, ends, raw in byte_slices(batch, "text"):
                 t = Tokens(raw, starts, ends)
                 places = v.places(t.hash)
-                classes = v.classes(places, t.shape)
+                leaves = v.leaves_of(places, t.shape)
                 known = places >= 0
                 logs = np.zeros(len(places))
                 logs[known] = log_counts[places[known]]
-                score = model.log10(t, places, classes)
-                rest = classes >= v.head_classes
+                score = model.log10(t, leaves)
+                rest = leaves >= v.head
                 score[rest] += logs[rest]
                 part = slice(lo, lo + len(starts))
                 for k, x in (("n", None), ("known", known), ("logs", logs), ("score", score)):

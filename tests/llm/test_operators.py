@@ -193,7 +193,7 @@ def test_lm_scoring(docs, texts):
 
 def test_lm_with_few_ranked_words_counts_the_same(docs, texts, monkeypatch):
     monkeypatch.setattr(lm_scoring, "RANKED", 20)
-    monkeypatch.setattr(lm_scoring, "HEAD", 8)
+    monkeypatch.setattr(lm_scoring, "LEARNED", 5)
     model, tables = lm_scoring.fit(docs.filter(~lm_scoring.held_out()))
     few = {r["doc_id"]: r["base_score"] for r in lm_scoring.score(docs, model, tables).collect()}
     monkeypatch.undo()
@@ -209,24 +209,86 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert got.score.sum() / got.n_tokens.sum() > got.base_score.sum() / got.n_tokens.sum()
 
 
-def test_lm_learns_in_minibatches_of_4096_whatever_is_scored_at_once(monkeypatch):
-    r = random.Random(3)
-    data = " ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(9_999)).encode()
+def lm_of(data: bytes, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEARNED", 3)
     tokens = lm_scoring.Tokens(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
     h, first, n = np.unique(tokens.hash, return_index=True, return_counts=True)
     shape = tokens.shape[first]
     totals = np.stack([np.bincount(shape, weights=n, minlength=lm_scoring.SHAPES), np.bincount(shape, minlength=lm_scoring.SHAPES)]).astype(np.int64)
-    v = lm_scoring.Vocabulary(h, n, shape, totals, int(n.sum()), len(h))
+    top = np.lexsort((h, -n))
+    v = lm_scoring.Vocabulary(h[top], n[top], shape[top], totals, int(n.sum()), len(h))
+    return tokens, v, v.leaves_of(v.places(tokens.hash), tokens.shape)
+
+
+def test_lm_learns_in_minibatches_of_4096_whatever_is_scored_at_once(monkeypatch):
+    r = random.Random(3)
+    data = " ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(9_999)).encode()
+    tokens, v, leaves = lm_of(data, monkeypatch)
     sizes, own = [], lm_scoring.Trainer.step
-    monkeypatch.setattr(lm_scoring.Trainer, "step", lambda self, t, c, part: (sizes.append(len(c[part])), own(self, t, c, part)))
+    monkeypatch.setattr(lm_scoring.Trainer, "step", lambda self, t, x, part: (sizes.append(len(x[part])), own(self, t, x, part)))
     trainer = lm_scoring.Trainer(lm_scoring.Model(v))
     trainer.learn(tokens)
     assert sizes == [4096, 4096, 10_000 - 2 * 4096]
-    places = v.places(tokens.hash)
-    classes = v.classes(places, tokens.shape)
-    scores = trainer.model.log10(tokens, places, classes)
+    scores = trainer.model.log10(tokens, leaves)
     monkeypatch.setattr(lm_scoring, "SLICE", 100)
-    assert trainer.model.log10(tokens, places, classes) == pytest.approx(scores, abs=1e-4)
+    assert trainer.model.log10(tokens, leaves) == pytest.approx(scores, abs=1e-4)
+
+
+def plain_log10(model, features, leaf):
+    """Node by node from a leaf to the root, in plain numbers."""
+    v, out, at = model.vocabulary, 0.0, leaf
+    while at != v.root:
+        node, child = int(v.parent[at]), int(v.slot[at])
+        own = features if node == v.root else features[:2]
+        rows = [((((f + node * 0x9E3779B1) & 0xFFFFFFFF) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - v.bits) for f in own]
+        logits = [float(v.priors[node - v.leaves][k]) + sum(float(model.weights[x][k]) for x in rows) for k in range(16)]
+        most = max(logits)
+        out += (logits[child] - most - math.log(sum(math.exp(x - most) for x in logits))) / math.log(10)
+        at = node
+    return out
+
+
+def test_lm_scores_follow_the_plain_softmax_and_add_up(monkeypatch):
+    r = random.Random(8)
+    words_ = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 14))) for _ in range(400)]
+    data = " ".join(r.choice(words_[: r.choice([5, 60, 400])]) for _ in range(6_000)).encode()
+    tokens, v, leaves = lm_of(data, monkeypatch)
+    assert v.head > 100 and len(v.priors) > 8 and (leaves >= v.head).any()
+    trainer = lm_scoring.Trainer(lm_scoring.Model(v))
+    trainer.learn(tokens)
+    got = trainer.model.log10(tokens, leaves)
+    assert got.mean() > lm_scoring.Model(v).log10(tokens, leaves).mean()
+    for i in range(0, len(got), 97):
+        features = [int(f[i]) for f in tokens.features]
+        share = v.log_share[leaves[i] - v.head] if leaves[i] >= v.head else 0
+        assert got[i] == pytest.approx(plain_log10(trainer.model, features, int(leaves[i])) + share, abs=1e-4)
+        if i < 300:  # every token's probabilities are one together
+            assert sum(10 ** plain_log10(trainer.model, features, x) for x in range(v.leaves)) == pytest.approx(1, abs=1e-4)
+    # inside a shape: all words without leaves, and one unseen
+    for k in range(lm_scoring.SHAPES):
+        rest = [c for c, s in zip(v.counts[v.head :].tolist(), [int(tokens.shape[tokens.hash == h][0]) for h in v.by_hash[np.argsort(v.place)][v.head :]], strict=True) if s == k]
+        assert sum(c + 1 for c in rest) + 1 == pytest.approx(10 ** -v.log_share[k])
+
+
+def test_lm_changes_are_averaged_level_by_level(spark):
+    """As one mean over all tasks, whether few or all tasks meet at a time."""
+    r = np.random.default_rng(5)
+    rows, sums, uses = [], np.zeros((2 * lm_scoring.BLOCK, 16)), np.zeros(2 * lm_scoring.BLOCK)
+    for task in range(11):
+        used = np.zeros(2 * lm_scoring.BLOCK, np.int64)
+        used[r.integers(0, 60, 20)] = r.integers(1, 9, 20)
+        used[5000] = task
+        change = r.normal(size=(len(used), 16)).astype(np.float16)
+        for b in lm_scoring._blocks(task, used, change):
+            rows += [tuple(bytearray(x) if isinstance(x, bytes) else x for x in y.values()) for y in b.to_pylist()]
+        sums += change.astype(float) * used[:, None]
+        uses += used
+    changes = spark.createDataFrame(rows, lm_scoring.CHANGES).repartition(3)
+    for together in (2, 3, 64):
+        got = np.zeros_like(sums)
+        for row in lm_scoring._mean(changes, 11, 2, together).collect():
+            got[row["block"] * lm_scoring.BLOCK + np.frombuffer(row["at"], np.uint16).astype(int)] = np.frombuffer(row["change"], np.float32).reshape(-1, 16)
+        assert got == pytest.approx(sums / np.maximum(1, uses)[:, None], abs=1e-4)
 
 
 @pytest.mark.parametrize("rows", [3_000, 10])
