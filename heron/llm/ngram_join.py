@@ -2,20 +2,26 @@
 
 A document's set holds the hashes of its distinct 5-word shingles. Documents of equal sets are one node. Shingles are
 put in one global order, rare before frequent; two sets of likeness 0.75 share a shingle among the first few of each,
-so each node sends only those, a quarter, to buckets by hash. Sharers of a shingle are paired if sizes (length
+so only those, a quarter of each set, are looked up. Sharers of a shingle are paired if sizes (length
 filter), the shingle's places in both orders (positional filter) and counts of shingles per hash class, which bound
 the difference of the sets (suffix filter), allow for 0.75. Pairs are made distinct and verified once on whole sets.
 
-Large groups of sharers aren't expanded: first each member meets the group's most central node, the one with the fewest
-rarer shingles; after components are known, only members that are still apart are paired. So no link between components is lost, whatever a group's size,
-and the components are exact.
+Frequencies are exact numbers of nodes: all shingles go to buckets by hash and are counted there, those of a single node
+can't be shared and are only numbered, and the others go back, with their counts, to buckets by node, where each set is
+ordered and its prefix cut. Shingles of HOT nodes or more, as counted over the nodes whose hash is divisible by SAMPLE,
+don't meet in one bucket: they come last in the order, by that count, and their sharers are dealt into parts by node.
+HOT grows with the input, so that at most MOST_HOT shingles are hot, which bounds their table.
 
-Frequencies are counted over all documents, chunk by chunk: shingles that repeat within a chunk are summed up, and the
-FREQUENT most frequent ones come last in the order. Any order gives the same result; it only sets the work.
+Large groups of sharers aren't expanded: first each member meets the most central node of its group or part, the one with the fewest
+rarer shingles, and centres of parts meet the most central of these; after components are known, only members that are
+still apart are paired. So no link between components is lost, whatever a group's size, and the components are exact.
+
+Shingles are told apart by 64-bit hashes, in verification too: two different ones count as equal with a probability of
+about n^2 / 2^65 among n distinct shingles. Nodes are checked with 128 further bits.
 
 Nulls and texts without words have an empty set and link with nothing. Rows with a null doc_id take part and get the
-smallest doc_id of their component, null if there is none. Extra columns are ignored. An empty table gives an empty
-result.
+smallest doc_id of their component, null if there is none. Rows that repeat are one node. Very long texts are taken
+whole. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,10 +40,12 @@ from heron.llm.words import STEP, mix, words
 WORDS = 5
 #: Likeness NUM / DEN.
 NUM, DEN = 3, 4
-#: Frequent shingles that are ranked: a table of 16 bytes each reaches every worker. Repeats within a chunk that count.
-FREQUENT, CHUNK, REPEATS = 200_000, 4_000_000, 4
-#: Entries of a bucket; groups of sharers up to this size are paired at once.
-BUCKET_ENTRIES, SMALL = 1_500_000, 8
+#: Entries of a bucket of shingles; groups of sharers up to this size are paired at once.
+BUCKET_ENTRIES, SMALL = 2_000_000, 8
+#: Nodes that make a shingle hot at least, hot shingles at most, and the share of nodes that are counted for it.
+HOT, MOST_HOT, SAMPLE = 200_000, 1 << 20, 64
+#: Shingles and nodes that a task deals out together.
+TOGETHER, NODES = 1_000_000, 60_000
 #: Hash classes of the suffix filters: counts of few travel with each entry, parities of many (at least, twice the set's
 #: size else) with each pair before whole sets do.
 FEW, MANY = 8, 2048
@@ -72,18 +80,21 @@ def node_of(shingles: np.ndarray, seed: int) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed)).astype(np.int64))
 
 
-def _sizes(seed: int):
+def _sizes(seed: int, sample: int):
     def run(batches):
         for batch in batches:
-            n, nodes, digests, sigs = [], [], [], []
+            n, nodes, digests, sigs, few, shown = [], [], [], [], [], []
             for _, starts, ends, raw in byte_slices(batch, "text", 1 << 20):
                 for s in shingle_sets(raw, starts, ends):
                     n.append(len(s))
                     nodes.append(node_of(s, seed))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sigs.append(_parities(s))
+                    few.append(int(_signature(s, FEW).view(np.int64)[0]))
+                    shown.append(s.tobytes() if nodes[-1] % sample == 0 else None)
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "digest", "sig"])
+                columns = [(n, pa.int64()), (nodes, pa.int64()), (digests, pa.binary()), (sigs, pa.binary()), (few, pa.int64()), (shown, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in columns]], ["doc_id", "n_shingles", "node", "digest", "sig", "few", "shown"])
 
     return run
 
@@ -91,50 +102,129 @@ def _sizes(seed: int):
 def _new_sets(batches, seed: int):
     """(slice of distinct nodes, their sets): a node that a worker has just seen isn't given again."""
     seen: set[int] = set()
+    nodes, sets, size = [], [], 0
     for batch in batches:
         for _, starts, ends, raw in byte_slices(batch, "text", 1 << 20):
-            nodes, sets = [], []
             for s in shingle_sets(raw, starts, ends):
                 if len(s) and (node := node_of(s, seed)) not in seen:
                     seen.add(node)
                     nodes.append(node)
                     sets.append(s)
-            for lo in range(0, len(nodes), 60_000):
-                yield nodes[lo : lo + 60_000], sets[lo : lo + 60_000]
+                    size += len(s)
+                    if size >= TOGETHER or len(nodes) >= NODES:
+                        yield nodes, sets
+                        nodes, sets, size = [], [], 0
         if len(seen) > 200_000:
             seen.clear()
+    if nodes:
+        yield nodes, sets
+
+
+def _shown_counts(batches):
+    """Shingles of sampled nodes with how many of a batch hold them."""
+    for batch in batches:
+        if len(batch):
+            h, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+
+class HotShingles:
+    """The shingles that are shared most, the most frequent last: rank and number of parts of each."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, hot: int):
+        order = np.argsort(hashes)
+        rank = np.empty(len(hashes), np.uint32)
+        rank[np.lexsort((hashes, counts))] = np.arange(len(hashes), dtype=np.uint32)
+        self.hashes, self.rank, self.parts = hashes[order], rank[order], (1 + counts[order] // hot).astype(np.uint64)
+
+    def find(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is hot, and where in the table."""
+        if not len(self.hashes):
+            return np.zeros(len(shingles), bool), np.zeros(len(shingles), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        return self.hashes[at] == shingles, at
+
+
+#: Counts from here on are ranks of hot shingles.
+HOT_RANK = np.uint32(1 << 31)
+
+
+def _dealt(bucket: np.ndarray, node: np.ndarray, buckets: int, names: list[str], columns: list[np.ndarray]):
+    """A batch with one row a bucket: its distinct nodes, and for every entry the place of its node among them and its columns."""
+    order = np.lexsort((node, bucket))
+    bucket, node = bucket[order], node[order]
+    bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+    fresh = np.ones(len(node), bool)
+    fresh[1:] = (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])
+    number = np.cumsum(fresh)
+    columns = [c[order] for c in columns]
+    rows = []
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        own = slice(bounds[b], bounds[b + 1])
+        local = number[own] - number[bounds[b]]
+        rows.append((b, node[own][fresh[own]].tobytes(), local.astype(np.uint16 if local[-1] < 1 << 16 else np.uint32).tobytes(), *[c[own].tobytes() for c in columns]))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 3 + len(columns))], ["bucket", "node", "local", *names])
+
+
+def _nodes(node, local, n: int) -> np.ndarray:
+    """The node of each of n entries of a row that _dealt() made."""
+    node = np.frombuffer(node, np.int64)
+    return node[np.frombuffer(local, np.uint16 if len(local) == 2 * n else np.uint32)]
+
+
+def _bucket_of_shingle(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+
 
+def _bucket_of_node(node: np.ndarray, buckets: int) -> np.ndarray:
+    return ((node.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
 
-def _frequent(seed: int):
-    def counted(held):
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        keep = c >= REPEATS
-        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], ["h", "n"])
+
+def _shingles(seed: int, hot, buckets: int):
+    """All shingles with their nodes: by shingle, and where they are hot, by node."""
 
     def run(batches):
-        held, size = [], 0
-        for _, sets in _new_sets(batches, seed):
-            held += sets
-            size += sum(map(len, sets))
-            if size > CHUNK:
-                yield counted(held)
-                held, size = [], 0
-        if held:
-            yield counted(held)
+        for nodes, sets in _new_sets(batches, seed):
+            h = np.concatenate(sets)
+            node = np.repeat(np.array(nodes, np.int64), [len(s) for s in sets])
+            is_hot, at = hot.value.find(h)
+            bucket = np.where(is_hot, _bucket_of_node(node, buckets), _bucket_of_shingle(h, buckets))
+            rank = np.where(is_hot, hot.value.rank[at] + HOT_RANK, 0).astype(np.uint32) if is_hot.any() else np.zeros(len(h), np.uint32)
+            yield _dealt(bucket, node, buckets, ["h", "count"], [h, rank])
 
     return run
 
 
-def _ordered(shingles: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The global order, rare first: shingles that aren't ranked by hash, then those that are, by rank."""
-    if not len(hashes):
-        return shingles
-    at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
-    ranked = hashes[at] == shingles
-    if not ranked.any():
-        return shingles
-    tail = shingles[ranked]
-    return np.concatenate([shingles[~ranked], tail[np.argsort(ranks[at[ranked]])]])
+def _counted(buckets: int):
+    """Shingles of several nodes, with their numbers of nodes, by node."""
+
+    def run(batches):
+        held = [[], [], []]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, node, local, h, count = (c[i].as_py() for c in batch.columns)
+                h = np.frombuffer(h, np.uint64)
+                for k, x in enumerate((h, _nodes(node, local, len(h)), np.frombuffer(count, np.uint32))):
+                    held[k].append(x)
+        if not held[0]:
+            return
+        h, node, count = (np.concatenate(x) for x in held)
+        del held
+        order = np.lexsort((node, h))
+        h, node, count = h[order], node[order], count[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])  # copies of a node came from several workers
+        h, node, count = h[fresh], node[fresh], count[fresh]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(first, append=len(h))
+        count = np.where(count >= HOT_RANK, count, np.repeat(size, size)).astype(np.uint32)
+        keep = count > 1
+        h, node, count = h[keep], node[keep], count[keep]
+        for lo in range(0, len(h), TOGETHER):
+            part = slice(lo, lo + TOGETHER)
+            yield _dealt(_bucket_of_node(node[part], buckets), node[part], buckets, ["h", "count"], [h[part], count[part]])
+
+    return run
 
 
 def _signature(shingles: np.ndarray, classes: int) -> np.ndarray:
@@ -165,30 +255,58 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(d, 256 - d).sum(axis=1)
 
 
-def _entries(seed: int, table, buckets: int):
+ENTRY = "bucket int, node binary, local binary, h binary, about binary"
+#: Of an entry: shingles of its node and place of the shingle in their order, counts by hash class, whether the shingle's sharers are dealt into parts.
+ABOUT = np.dtype([("size", "<u4"), ("place", "<u4"), ("sig", "<i8"), ("parts", "u1")])
+
+
+def _entries(hot, buckets: int):
+    """Prefixes: of each node, the shared shingles among the first of its order. Rows with a size tell a node's set's size and signature."""
+
     def run(batches):
-        hashes, ranks = table.value
-        for nodes, sets in _new_sets(batches, seed):
-            prefixes = [_ordered(s, hashes, ranks)[: len(s) - -(-len(s) * NUM // DEN) + 1] for s in sets]
-            lengths = np.array([len(p) for p in prefixes])
-            h = np.concatenate(prefixes)
-            owner = np.repeat(np.arange(len(sets)), lengths)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            node, size = np.array(nodes, np.int64), np.array([len(s) for s in sets], np.uint32)
-            sig = np.concatenate([_signature(s, FEW) for s in sets]).view(np.int64)
-            rows = []
-            for b in range(buckets):
-                own = order[bounds[b] : bounds[b + 1]]
-                if not len(own):
-                    continue
-                of, local = np.unique(owner[own], return_inverse=True)
-                p = place[own]
-                rows.append((b, node[of].tobytes(), size[of].tobytes(), sig[of].tobytes(), (h[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((h[own] >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), local.astype(np.uint16).tobytes(), p.astype(np.uint16 if p.max() < 1 << 16 else np.uint32).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8)], ["bucket", "node", "size", "sig", "low", "high", "local", "place"])
+        held, about = [[], [], []], [[], [], []]
+        for batch in batches:
+            named = dict(zip(batch.schema.names, batch.columns, strict=True))
+            own = batch.filter(named["size"].is_valid())
+            if len(own):
+                for k, c in enumerate(("of", "size", "sig")):
+                    about[k].append(own.column(own.schema.get_field_index(c)).to_numpy())
+            rest = batch.filter(named["size"].is_null())
+            for node, local, h, count in zip(*[rest.column(rest.schema.get_field_index(c)).to_pylist() for c in ("node", "local", "h", "count")], strict=True):
+                h = np.frombuffer(h, np.uint64)
+                for k, x in enumerate((_nodes(node, local, len(h)), h, np.frombuffer(count, np.uint32))):
+                    held[k].append(x)
+        if not held[0]:
+            return
+        node, h, count = (np.concatenate(x) for x in held)
+        of, n, sig = (np.concatenate(x) for x in about)
+        del held, about
+        order = np.lexsort((h, count, node))  # rare first
+        node, h = node[order], h[order]
+        fresh = np.ones(len(node), bool)  # a hot shingle of a node came from several workers
+        fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        node, h = node[fresh], h[fresh]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        shared = np.diff(first, append=len(node))
+        order = np.argsort(of)
+        at = order[np.searchsorted(of[order], node[first])]
+        n, sig = n[at], sig[at]
+        alone = n - shared  # shingles that no other node has come first
+        prefix = n - -(-n * NUM // DEN) + 1
+        place = np.arange(len(node)) - np.repeat(first, shared) + np.repeat(alone, shared)
+        keep = place < np.repeat(prefix, shared)
+        out = np.zeros(int(keep.sum()), ABOUT)
+        out["size"], out["sig"], out["place"] = np.repeat(n, shared)[keep], np.repeat(sig, shared)[keep], place[keep]
+        node, h = node[keep], h[keep]
+        bucket = _bucket_of_shingle(h, buckets)
+        is_hot, at = hot.value.find(h)
+        if is_hot.any():
+            part = mix(node.view(np.uint64)) % hot.value.parts[at]
+            bucket = np.where(is_hot, _bucket_of_shingle(mix(h + part), buckets), bucket)
+            out["parts"] = is_hot
+        for lo in range(0, len(h), TOGETHER):
+            part = slice(lo, lo + TOGETHER)
+            yield _dealt(bucket[part], node[part], buckets, ["h", "about"], [h[part], out[part]])
 
     return run
 
@@ -200,39 +318,26 @@ def passes(na, nb, pa_, pb, sa, sb) -> np.ndarray:
     return ok & (_differ(sa.view(np.uint8).reshape(-1, FEW), sb.view(np.uint8).reshape(-1, FEW)) <= na + nb - 2 * least)
 
 
-PAIRED = "a long, b long, key long, size long, place long, sig long"
+PAIRED = "a long, b long, key long, size long, place long, sig long, centre boolean"
 
 
 def _paired(batches):
-    """Rows with b: pairs to verify. Rows with a key: members a of large groups."""
-    held = [[] for _ in range(6)]
+    """Rows with b: pairs to verify. Rows with a key: members a of large groups, and whether they are the centre of a part."""
+    held = [[], [], []]
     for batch in batches:
         for i in range(batch.num_rows):
-            bucket, *blobs = (c[i].as_py() for c in batch.columns)
-            node, size, sig = (np.frombuffer(x, t) for x, t in zip(blobs[:3], (np.int64, np.uint32, np.int64), strict=True))
-            low, high, local = (np.frombuffer(x, t) for x, t in zip(blobs[3:6], (np.uint32, np.uint8, np.uint16), strict=True))
-            place = np.frombuffer(blobs[6], np.uint16 if len(blobs[6]) == 2 * len(low) else np.uint32)
-            key = (np.int64(bucket) << 40) | (high.astype(np.int64) << 32) | low.astype(np.int64)
-            for k, x in enumerate((key, node[local], size[local], place.astype(np.uint32), sig[local])):
+            _, node, local, h, about = (c[i].as_py() for c in batch.columns)
+            h = np.frombuffer(h, np.uint64)
+            for k, x in enumerate((h, _nodes(node, local, len(h)), np.frombuffer(about, ABOUT))):
                 held[k].append(x)
     if not held[0]:
         return
-    key, node, size, place, sig = (np.concatenate(x) for x in held[:5])
+    h, node, about = (np.concatenate(x) for x in held)
     del held
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    twin = np.zeros(len(key), bool)
-    same = sorted_key[1:] == sorted_key[:-1]
-    twin[1:] |= same
-    twin[:-1] |= same
-    own = order[twin]
-    key, node, size, place, sig = key[own], node[own], size[own].astype(np.int64), place[own].astype(np.int64), sig[own]
-    order = np.lexsort((node, key))
-    key, node, size, place, sig = (x[order] for x in (key, node, size, place, sig))
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # copies of a node came from several workers
-    key, node, size, place, sig = (x[fresh] for x in (key, node, size, place, sig))
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    order = np.lexsort((node, h))
+    key, node, about = h[order].view(np.int64), node[order], about[order]
+    size, place, sig = about["size"].astype(np.int64), about["place"].astype(np.int64), about["sig"]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(first, append=len(key))
     pairs = []
 
@@ -241,29 +346,29 @@ def _paired(batches):
         if ok.any():
             pairs.append(np.stack([node[x[ok]], node[y[ok]]], axis=1))
 
+    large = (count > SMALL) | (about["parts"][first] > 0)
     for g in range(2, SMALL + 1):
-        at = first[count == g]
+        at = first[(count == g) & ~large]
         for i in range(g):
             for j in range(i + 1, g):
                 if len(at):
                     tried(at + i, at + j)
-    large = count > SMALL
-    inside = np.repeat(large, count)
+    member = np.flatnonzero(np.repeat(large, count))
     if large.any():
         # The centre is the member with the fewest rarer shingles: an original has none that its copies lack.
-        least = np.minimum.reduceat(place * len(key) + np.arange(len(key)), first) % len(key)
-        head = np.repeat(least, count)[inside]
-        member = np.flatnonzero(inside)
+        order = np.lexsort((node, place, np.repeat(np.arange(len(first)), count)))
+        head = np.repeat(order[first], count)[member]
         tried(head[member != head], member[member != head])
     if pairs:
         found = np.unique(np.concatenate(pairs), axis=0)
         for lo in range(0, len(found), 200_000):
             part = found[lo : lo + 200_000]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), none, none, none, none], ["a", "b", "key", "size", "place", "sig"])
-    for lo in range(0, len(member) if large.any() else 0, 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), none, none, none, none, pa.nulls(len(part), pa.bool_())], ["a", "b", "key", "size", "place", "sig", "centre"])
+    for lo in range(0, len(member), 200_000):
         m = member[lo : lo + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(node[m]), pa.nulls(len(m), pa.int64()), pa.array(key[m]), pa.array(size[m]), pa.array(place[m]), pa.array(sig[m])], ["a", "b", "key", "size", "place", "sig"])
+        centre = (head[lo : lo + 200_000] == m) & (about["parts"][m] > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(node[m]), pa.nulls(len(m), pa.int64()), pa.array(key[m]), pa.array(size[m]), pa.array(place[m]), pa.array(sig[m]), pa.array(centre)], ["a", "b", "key", "size", "place", "sig", "centre"])
 
 
 def _sets(seed: int):
@@ -325,38 +430,46 @@ def _linked(pairs: DataFrame, classes: DataFrame, source: DataFrame, seed: int)
     return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_kept(_alike), PAIR))
 
 
-def shingle_components(docs: DataFrame) -> DataFrame:
+def _hot(rows: DataFrame, total: int, sample: int) -> HotShingles:
+    """Shingles that HOT nodes or more hold, by the sampled ones; the driver gets at most MOST_HOT of them, by the choice of HOT."""
+    least = max(HOT, -(-total // MOST_HOT))
+    sampled = rows.filter("shown IS NOT NULL AND n_shingles > 0").dropDuplicates(["node"]).select("shown")
+    counts = sampled.mapInArrow(_shown_counts, "h long, n long").groupBy("h").agg((F.sum("n") * sample).alias("n")).filter(F.col("n") >= least)
+    found = counts.toPandas()
+    return HotShingles(found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), least)
+
+
+def shingle_components(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seed = 0
     while True:  # nodes are 64-bit; should two sets share one, deal them anew
-        rows = cut(source.mapInArrow(_sizes(seed), "doc_id long, n_shingles long, node long, digest binary, sig binary"))
-        classes = rows.filter("n_shingles > 0").groupBy("node", "digest", "sig").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
+        rows = cut(source.mapInArrow(_sizes(seed, sample), "doc_id long, n_shingles long, node long, digest binary, sig binary, few long, shown binary"))
+        classes = rows.filter("n_shingles > 0").groupBy("node", "digest", "sig", "few").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
         if classes.groupBy("node").count().filter("count > 1").isEmpty():
             break
         seed += 1
-    classes = cut(classes.select("node", "sig", "least", "n"))
-    texts = source.select("text")
-    counts = texts.mapInArrow(_frequent(seed), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    frequent = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    h = frequent["h"].to_numpy(np.int64).view(np.uint64)
-    by_hash = np.argsort(h)
-    ranks = (len(h) - np.arange(len(h)))[by_hash]  # the most frequent last
-    table = spark.sparkContext.broadcast((h[by_hash], ranks))
+    classes = cut(classes.select("node", "sig", "few", "least", "n"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(8, -(-total // (DEN * BUCKET_ENTRIES)))
-    entries = texts.mapInArrow(_entries(seed, table, buckets), "bucket int, node binary, size binary, sig binary, low binary, high binary, local binary, place binary")
-    found = cut(entries.repartitionById(buckets, F.col("bucket")).mapInArrow(_paired, PAIRED))
-    del entries, counts
+    hot = spark.sparkContext.broadcast(_hot(rows, total, sample))
+    buckets = max(8, -(-total // BUCKET_ENTRIES))
+    lean = max(8, -(-total // (DEN * BUCKET_ENTRIES)))
+    dealt = source.select("text").mapInArrow(_shingles(seed, hot, buckets), "bucket int, node binary, local binary, h binary, count binary")
+    counted = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_counted(buckets), "bucket int, node binary, local binary, h binary, count binary")
+    of_node = F.pmod(F.shiftrightunsigned("node", 20), F.lit(buckets)).cast("int").alias("bucket")
+    sizes = classes.select(of_node, F.col("node").alias("of"), F.col("n").alias("size"), F.col("few").alias("sig"))
+    ordered = counted.unionByName(sizes, allowMissingColumns=True).repartitionById(buckets, F.col("bucket")).mapInArrow(_entries(hot, lean), ENTRY)
+    found = cut(ordered.repartitionById(lean, F.col("bucket")).mapInArrow(_paired, PAIRED))
+    del dealt, counted, ordered
     release(spark)
-    pairs = cut(found.filter("key IS NULL").select("a", "b").distinct())
-    groups = found.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "size", "place", "sig")
+    groups = found.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "size", "place", "sig", "centre")
+    pairs = cut(found.filter("key IS NULL").select("a", "b").union(_between_parts(groups)).distinct())
     links = _linked(pairs, classes, source, seed)
     release(spark)
     labels = cut(components(links))
     if not groups.isEmpty():
-        links = links.union(_linked(_still_apart(groups, labels, pairs), classes, source, seed))
+        links = links.union(_linked(_still_apart(groups.drop("centre"), labels, pairs), classes, source, seed))
         labels = cut(components(links))
     nodes = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     least = nodes.groupBy("label").agg(F.min("least").alias("component"))
@@ -364,6 +477,15 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     return rows.join(mapped, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _between_parts(groups: DataFrame) -> DataFrame:
+    """Pairs of centres of a hot shingle's parts with the most central of them, as far as filters let them pass."""
+    centres = groups.filter("centre").select("key", F.struct("place", "node", "size", "sig").alias("x"))
+    heads = centres.groupBy("key").agg(F.min("x").alias("y"))
+    both = centres.join(heads, "key").filter("x.node <> y.node")
+    columns = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in ("node", "size", "place", "sig") for side in ("x", "y")]
+    return both.select(*columns).mapInArrow(_kept(_passing), PAIR)
+
+
 def _still_apart(groups: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs of a group that filters let pass, aren't in one component and weren't verified before.
 
