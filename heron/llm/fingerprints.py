@@ -7,10 +7,12 @@ The likeness of two fingerprints estimates, octave by octave, the share of steps
 what agrees by chance; steps that only one stream reaches count as different.
 
 near_documents() finds likely pairs by banding: bits sampled from the octave bands are keys, candidates are verified
-by the likeness of their fingerprints. Texts aren't compared: verification by edit distance is left out, so different
-texts of one fingerprint stay one class. classes_of() gives every doc_id its class. Nulls count as empty texts; the fingerprint of an empty text is "0". The order
-is ascending doc_id, nulls first, then text; after the last row comes the first. Other columns are ignored; an empty
-table gives an empty result, and a single row is its own next.
+by the likeness of their fingerprints, and where texts are given, by the edit distance of the whole texts. classes_of()
+gives every doc_id its class of equal fingerprints. No registered query reaches these two.
+
+Nulls count as empty texts; the fingerprint of an empty text is "0". The order is ascending doc_id, nulls first, then a
+hash of the text, then text; after the last row comes the first. Very long texts are walked whole. Other columns are
+ignored; an empty table gives an empty result, and a single row is its own next.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ PERIOD, CLASSES, SAMPLES = 1 << 16, 64, 64
 OCTAVES = 48
 #: Characters whose walks run side by side; below so many lanes, a plain loop is faster.
 TOGETHER, LANES = 1 << 21, 24
-#: Rows of a range of doc_ids.
-RANGE_ROWS = 3_000
+#: Bytes of a range of doc_ids, ranges at most, and keys that are drawn for each bound.
+RANGE_BYTES, MOST_RANGES, FINER = 8 << 20, 50_000, 16
 
 
 @functools.lru_cache(1)
@@ -161,26 +163,37 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(bounds: np.ndarray, least):
-    """Rows with the range of their doc_id; the first row of a range also ends the range before, the very first the last."""
+#: Stands for null in the order of doc_ids; HIGH tells a doc_id of this value from it.
+LOWEST, HIGH = -(1 << 63), 1 << 62
+
+
+def _ranges(bounds: np.ndarray, least: tuple[int, int]):
+    """Rows with the range of their key; the first row of a range also ends the range before, the very first the last.
+
+    A key is a doc_id and a number from its text; bounds, in order, are keys that occur.
+    """
     last = len(bounds)
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            values = ids.fill_null(0).to_numpy()
-            part = np.where(known, np.searchsorted(bounds, values, side="right"), 0)
-            first = np.flatnonzero(known & np.isin(values, bounds))
-            wrap = np.flatnonzero(values == least) if least is not None else np.arange(len(values))
-            wrap = wrap[known[wrap]] if least is not None else np.flatnonzero(~known)
-            rows = np.concatenate([np.arange(len(ids)), first, wrap])
+            key, tie = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            lo, part = np.searchsorted(bounds[:, 0], key, side="left"), np.searchsorted(bounds[:, 0], key, side="right")
+            first = np.zeros(len(key), bool)
+            inside = np.flatnonzero(lo < part)
+            for i in np.unique(lo[inside]).tolist():  # doc_ids with a bound of their own
+                own = inside[lo[inside] == i]
+                ties = bounds[i : part[own[0]], 1]
+                at = np.searchsorted(ties, tie[own], side="right")
+                first[own] = (at > 0) & (ties[np.maximum(at, 1) - 1] == tie[own])
+                part[own] = i + at
+            first, wrap = np.flatnonzero(first), np.flatnonzero((key == least[0]) & (tie == least[1]))
+            rows = np.concatenate([np.arange(len(key)), first, wrap])
             parts = np.concatenate([part, part[first] - 1, np.full(len(wrap), last)])
-            ends = np.concatenate([np.zeros(len(ids), np.int8), np.ones(len(first), np.int8), np.full(len(wrap), 1, np.int8)])
+            ends = np.concatenate([np.zeros(len(key), np.int8), np.ones(len(first) + len(wrap), np.int8)])
             taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(parts.astype(np.int32)), pa.array(ends)], ["doc_id", "text", "part", "end"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts.astype(np.int32)), pa.array(ends)], ["doc_id", "text", "key", "tie", "part", "end"])
 
     return run
 
@@ -226,19 +239,31 @@ def _fingerprinted(frames):
                 held, size = ([] if end else held[-1:]), len(text)
 
 
+def _bounds(keyed: DataFrame, total: int, least: tuple[int, int]) -> np.ndarray:
+    """Keys that cut the rows into ranges of about RANGE_BYTES bytes, or more if these were over MOST_RANGES.
+
+    Keys are drawn by a hash, in proportion to the bytes of their rows, FINER times as many as there are ranges, and
+    every FINER-th is a bound; the driver gets FINER * MOST_RANGES of them at most, on average.
+    """
+    each = max(RANGE_BYTES, total // MOST_RANGES) / FINER
+    chance = F.least(F.lit(1.0), F.col("bytes") / each)
+    drawn = keyed.filter(F.pmod(F.xxhash64("key", "tie", F.lit(55)), F.lit(1 << 40)) < chance * (1 << 40)).select("key", "tie").distinct()
+    found = np.array(sorted((r["key"], r["tie"]) for r in drawn.collect()), np.int64).reshape(-1, 2)[FINER // 2 :: FINER]
+    return found[(found[:, 0] > least[0]) | (found[:, 1] > least[1])]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The columns of SCHEMA for every row; texts move once, to ranges of adjacent doc_ids."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Distinct ids; a bound must be an id that occurs, as its first row ends the range before it.
-    n, least, nulls = source.agg(F.count(F.lit(1)), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    parts = max(1, -(-n // RANGE_ROWS))
-    bounds = []
-    if parts > 1 and least is not None:
-        found = source.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-        bounds = sorted({b for b in found if b > least or nulls})
-    dealt = source.mapInArrow(_ranges(np.array(bounds, np.int64), None if nulls else least), "doc_id long, text string, part int, end byte")
-    ordered = dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "end", F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInPandas(_fingerprinted, SCHEMA)
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(HIGH))
+    keyed = source.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), tie.alias("tie"))
+    sized = keyed.select("key", "tie", (F.octet_length("text") + 1).alias("bytes"))
+    total, least = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.min(F.struct("key", "tie"))).first()
+    least = (least["key"], least["tie"]) if least else (0, 0)
+    bounds = _bounds(sized, total, least) if total > RANGE_BYTES else np.zeros((0, 2), np.int64)
+    dealt = keyed.mapInArrow(_ranges(bounds, least), "doc_id long, text string, key long, tie long, part int, end byte")
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "end", "key", "tie", "text")
+    return ordered.select("doc_id", "text", "part", "end").mapInPandas(_fingerprinted, SCHEMA)
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
@@ -247,15 +272,47 @@ def classes_of(prints: DataFrame) -> DataFrame:
     return prints.join(least, "fingerprint").select("doc_id", "class")
 
 
-def near_documents(prints: DataFrame, bits: int = 20, bands: int = 20, least: float = 0.75) -> DataFrame:
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions and replacements of characters between two texts, a column of the table at a time, as bits."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    where: dict[str, int] = {}
+    for i, c in enumerate(b):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    rises, falls, distance = full, 0, len(b)  # places at which the column rises or falls by one
+    for c in a:
+        same = where.get(c, 0)
+        still = ((((same & rises) + rises) ^ rises) | same | falls) & full
+        up, down = falls | (full & ~(still | rises)), rises & still
+        distance += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        rises, falls = down | (full & ~(still | up)), up & still
+    return distance
+
+
+def near_documents(prints: DataFrame, bits: int = 20, bands: int = 20, least: float = 0.75, texts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, near) of fingerprints (doc_id, fingerprint) that agree on one band of sampled bits and are verified alike.
 
     Equal fingerprints are one class, by its smallest doc_id, so copies aren't expanded into pairs; see classes_of().
     A band's key is `bits` bits of one of the last four octaves that the text fills. Classes of one key meet the
     smallest of their key first; members that this leaves in different components then meet each other, so components
-    of the pairs are those of all alike pairs that share a key. doc_ids are taken as distinct.
+    of the pairs are those of all alike pairs that share a key. doc_ids are taken as distinct. With texts (doc_id,
+    text), pairs whose edit distance is over 1 - least of the longer text go, and near is what the distance leaves.
     """
 
+    @F.pandas_udf("double")
+    def unedited(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([1 - edit_distance(p or "", q or "") / max(1, len(p or ""), len(q or "")) for p, q in zip(x, y, strict=True)])
+
+    if texts is not None:
+        pairs = near_documents(prints, bits, bands, least).drop("near")
+        own = texts.select(F.col("doc_id"), F.col("text"))
+        both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+        return both.select("a", "b", unedited("x", "y").alias("near")).filter(F.col("near") >= least)
+
     def keys(frames):
         _, octave = _steps()
         for frame in frames:
