@@ -16,7 +16,7 @@ row was used, first within groups of TOGETHER tasks, then over groups. Scoring r
 
 Counts of all training tokens are exact. They stay in hash buckets; only the RANKED most frequent words, a bounded
 table, reach every worker, and the other words of each text meet their counts in their bucket. Words are told apart
-by 64-bit hashes.
+by 60-bit hashes and their shapes.
 
 Nulls count as empty texts (one token, the end). A null doc_id isn't held out. Rows that repeat are learnt and scored
 each; very long texts are scored whole, in slices of tokens. With nothing to learn from, N and V are 0 and all shapes are equally
@@ -35,12 +35,14 @@ from heron.llm.words import mix, words
 
 END = np.uint64(0x9D5C01F3A7E24B61)
 START = np.uint64(0x3C6EF372FE94F82B)
-RANKED, LEARNED, SHAPES, FAN = 200_000, 16, 16, 16
+RANKED, LEARNED, SHAPES, FAN = 200_000, 64, 16, 16
 #: Features of the root and of other nodes; the first ones of bigram, skip, trigram.
 AT_ROOT, BELOW = 3, 2
 #: Training tokens for a row of weights; rows are 2^LEAST_BITS to 2^MOST_BITS.
-ROW_TOKENS, LEAST_BITS, MOST_BITS = 16, 12, 18
+ROW_TOKENS, LEAST_BITS, MOST_BITS = 16, 12, 17
 ROUNDS, BATCH, RATE = 3, 4096, 0.6
+#: Occurrences of a row in a minibatch from which they are summed by themselves.
+HEAVY = 32
 #: Tokens that are scored at once; it doesn't change what is learnt.
 SLICE = 8192
 BUCKET_WORDS = 1_000_000
@@ -51,7 +53,7 @@ _NODE, _ROW = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 class Tokens:
-    """Tokens of a slice: hash, text, features, shape class."""
+    """Tokens of a slice: hash, whose last bits are the shape, text, features."""
 
     def __init__(self, raw, starts, ends):
         w = words(raw, starts, ends)
@@ -62,11 +64,11 @@ class Tokens:
         is_end = np.zeros(total, bool)
         is_end[stops - 1] = True
         self.hash = np.full(total, END, np.uint64)
-        self.hash[~is_end] = w.hashes
+        if len(w.hashes):
+            letter = ((w.last >= 48) & (w.last <= 57)) | ((w.last >= 65) & (w.last <= 90)) | ((w.last >= 97) & (w.last <= 122)) | (w.last >= 128)
+            shape = (np.digitize(w.lengths, (5, 8, 12)) * 2 + ~letter) * 2 + w.high
+            self.hash[~is_end] = (w.hashes & ~np.uint64(SHAPES - 1)) | shape.astype(np.uint64)
         self.text = np.repeat(np.arange(n), self.counts)
-        shape = (np.digitize(w.lengths, (5, 8, 12)) * 2 + ((w.last < 48) | ((w.last > 57) & (w.last < 65)) | ((w.last > 90) & (w.last < 97)) | ((w.last > 122) & (w.last < 128)))) * 2 + w.high if len(w.hashes) else np.zeros(0, np.int64)
-        self.shape = np.zeros(total, np.int64)
-        self.shape[~is_end] = shape
         begin = stops - self.counts
         before = np.concatenate([[START], self.hash[:-1]])
         before[begin] = START
@@ -79,40 +81,49 @@ class Tokens:
 def class_tree(counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A tree over leaves in the given order, each node of which deals its leaves to FAN children of about equal counts.
 
-    Parent and place among its children of every leaf, then of every inner node; the root is the first of these. Also
-    the logarithms of the children's shares, by inner node.
+    A leaf with more than a FAN-th of its node's counts is a child of its own. Parent and place among its children of
+    every leaf, then of every inner node; the root is the first of these. Also the logarithms of the children's shares.
     """
     n = len(counts)
-    before = np.concatenate([[0], np.cumsum(counts[order])])
     parent, slot = np.zeros(n, np.int32), np.zeros(n, np.int32)
-    spans, above, shares = [(0, n)], [(0, 0)], []
-    for lo, hi in spans:  # grows while it's gone through
-        node = n + len(shares)
-        if hi - lo <= FAN:
-            cuts = np.arange(lo, hi + 1)
+    todo, above, shares = [order], [(0, 0)], []
+    for leaves in todo:  # grows while it's gone through
+        node, own = n + len(shares), counts[leaves]
+        total = int(own.sum())
+        if len(leaves) <= FAN:
+            parts = np.split(leaves, np.arange(1, len(leaves)))
         else:
-            k = np.arange(FAN - 1)
-            even = np.searchsorted(before, before[lo] + (before[hi] - before[lo]) * (k + 1) / FAN) - k
-            cuts = np.concatenate([[lo], np.clip(np.maximum.accumulate(even), lo + 1, hi - FAN + 1) + k, [hi]])
-        own = np.zeros(FAN)
-        own[: len(cuts) - 1] = np.diff(before[cuts])
-        shares.append(own / own.sum())
-        for place, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if b - a == 1:
-                parent[order[a]], slot[order[a]] = node, place
+            heavy = np.flatnonzero(own * FAN > total)[: FAN - 1]
+            parts, rest = [leaves[k : k + 1] for k in heavy], np.delete(leaves, heavy)
+            room = FAN - len(parts)
+            k = np.arange(room - 1)
+            before = np.cumsum(counts[rest])
+            even = np.searchsorted(before, before[-1] * (k + 1) / room) - k
+            parts += np.split(rest, np.clip(np.maximum.accumulate(even), 1, len(rest) - room + 1) + k) if room > 1 else [rest]
+        share = np.zeros(FAN)
+        for place, part in enumerate(parts):
+            share[place] = counts[part].sum()
+            if len(part) == 1:
+                parent[part[0]], slot[part[0]] = node, place
             else:
-                spans.append((a, b))
+                todo.append(part)
                 above.append((node, place))
+        shares.append(share / total)
     parent, slot = (np.concatenate([x, np.array([y[k] for y in above], np.int32)]) for k, x in enumerate((parent, slot)))
     shares = np.array(shares)
     return parent, slot, np.where(shares > 0, np.log(np.maximum(shares, 1e-300)), -1e4).astype(np.float32)
 
 
+def shapes_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SHAPES - 1)).astype(np.int64)
+
+
 class Vocabulary:
     """The most frequent words, most frequent first, and the tree over the first `head` of them and the shapes."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, shapes: np.ndarray, shape_totals: np.ndarray, n: int, v: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, shape_totals: np.ndarray, n: int, v: int):
         self.n, self.v, self.counts = n, v, counts
+        shapes = shapes_of(hashes)
         self.head = int((counts >= LEARNED).sum())
         order = np.argsort(hashes)
         self.by_hash, self.place = hashes[order], order.astype(np.int32)
@@ -139,8 +150,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.by_hash, hashes), len(self.by_hash) - 1)
         return np.where(self.by_hash[at] == hashes, self.place[at], -1)
 
-    def leaves_of(self, places: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        return np.where((places >= 0) & (places < self.head), places, self.head + shapes)
+    def leaves_of(self, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return np.where((places >= 0) & (places < self.head), places, self.head + shapes_of(hashes))
 
     def above(self, leaves: np.ndarray):
         """(which leaves, node, child) for the steps below the root, all leaves that have one more at once."""
@@ -198,30 +209,47 @@ class Model:
         return out
 
 
+def sums_of_runs(x: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of rows of x over runs; most runs are short, so these are summed member by member, and long ones by themselves."""
+    out = x.take(first, axis=0)
+    ones = np.ones(len(x), np.float32)
+    for i in np.flatnonzero(counts >= HEAVY).tolist():
+        a, n = first[i], counts[i]
+        out[i] = ones[:n] @ x[a : a + n]
+    run, k = np.flatnonzero((counts > 1) & (counts < HEAVY)), 1
+    while len(run):
+        out[run] += x.take(first[run] + k, axis=0)
+        k += 1
+        run = run[counts[run] > k]
+    return out
+
+
 class Trainer:
-    """Minibatch steps from given weights, with step sizes by element that fall with the gradients seen."""
+    """Minibatch steps from given weights, with step sizes by row that fall with the gradients seen."""
 
     def __init__(self, model: Model):
         self.model = Model(model.vocabulary, model.weights.copy())
-        self.seen = np.ones(model.weights.shape, np.float32)
+        self.seen = np.ones(len(model.weights), np.float32)
         self.used = np.zeros(len(model.weights), np.int64)
 
     def _apply(self, rows: list[np.ndarray], gradient: np.ndarray) -> None:
         """One step on the sums of the gradient by row; a token has a row for each feature."""
         # row and token in one number: its order groups rows
-        packed = np.concatenate([(r.astype(np.uint64) << np.uint64(12)) | np.arange(len(r), dtype=np.uint64) for r in rows])
+        packed = np.concatenate([(r << np.uint32(12)) | np.arange(len(r), dtype=np.uint32) for r in rows])
         packed.sort()
-        ordered = packed >> np.uint64(12)
+        ordered = packed >> np.uint32(12)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts = np.diff(first, append=len(packed))
         at = ordered[first].astype(np.int64)
-        total = np.add.reduceat(gradient.take((packed & np.uint64(BATCH - 1)).astype(np.int64), axis=0), first, axis=0)
-        seen = self.seen.take(at, axis=0)
-        seen += total * total
+        total = sums_of_runs(gradient.take((packed & np.uint32(BATCH - 1)).astype(np.int64), axis=0), first, counts)
+        seen = self.seen.take(at)
+        seen += np.einsum("ij,ij->i", total, total) / np.float32(4)
         self.seen[at] = seen
-        total *= RATE
-        total /= np.sqrt(seen, out=seen)
-        self.model.weights[at] -= total
-        self.used[at] += np.diff(first, append=len(packed))
+        total *= (RATE / np.sqrt(seen))[:, None]
+        weights = self.model.weights.take(at, axis=0)
+        weights -= total
+        self.model.weights[at] = weights
+        self.used[at] += counts
 
     def _towards(self, features, node, child) -> None:
         rows = self.model.rows(features, node)
@@ -239,26 +267,27 @@ class Trainer:
 
     def learn(self, tokens: Tokens) -> None:
         v = self.model.vocabulary
-        leaves = v.leaves_of(v.places(tokens.hash), tokens.shape)
+        leaves = v.leaves_of(v.places(tokens.hash), tokens.hash)
         for lo in range(0, len(leaves), BATCH):
             self.step(tokens, leaves, slice(lo, lo + BATCH))
 
 
 def _counted(buckets: int):
-    """Words of training texts by bucket: hash, shape, count."""
+    """Words of training texts by bucket: hash, count."""
 
     def run(batches):
         for batch in batches:
             for _, starts, ends, raw in byte_slices(batch, "text"):
                 t = Tokens(raw, starts, ends)
-                h, first, n = np.unique(t.hash, return_index=True, return_counts=True)
-                shape = t.shape[first].astype(np.uint8)
+                t.hash.sort()
+                first = np.flatnonzero(np.concatenate([[True], t.hash[1:] != t.hash[:-1]]))
+                h, n = t.hash[first], np.diff(first, append=len(t.hash))
                 bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(b, h[o].tobytes(), shape[o].tobytes(), n[o].astype(np.uint32).tobytes()) for b in range(buckets) if len(o := order[bounds[b] : bounds[b + 1]])]
+                rows = [(b, h[o].tobytes(), n[o].astype(np.uint32).tobytes()) for b in range(buckets) if len(o := order[bounds[b] : bounds[b + 1]])]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 4)], ["bucket", "h", "shape", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 3)], ["bucket", "h", "n"])
 
     return run
 
@@ -270,28 +299,29 @@ def _merged(most: int):
         held: dict[int, list] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                b, h, shape, n = (c[i].as_py() for c in batch.columns)
+                b, h, n = (c[i].as_py() for c in batch.columns)
                 own = held.setdefault(b, [])
-                own.append((np.frombuffer(h, np.uint64), np.frombuffer(shape, np.uint8), np.frombuffer(n, np.uint32).astype(np.int64)))
+                own.append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)))
                 if sum(len(x[0]) for x in own) > 4 * max(1_000_000, len(own[0][0])):  # merge now and then, so that memory follows the distinct words
                     held[b] = [_summed(own)]
         for b, own in held.items():
-            h, shape, n = _summed(own)
+            h, n = _summed(own)
+            shape = shapes_of(h)
             totals = np.stack([np.bincount(shape, weights=n, minlength=SHAPES), np.bincount(shape, minlength=SHAPES)]).astype(np.int64)
             top = np.lexsort((h, -n))[:most]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (h, n, totals, h[top], n[top], shape[top])], ["bucket", "h", "n", "totals", "top_h", "top_n", "top_shape"]
+                [pa.array([b], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (h, n, totals, h[top], n[top])], ["bucket", "h", "n", "totals", "top_h", "top_n"]
             )
 
     return run
 
 
 def _summed(parts):
-    h, shape, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    h, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
     order = np.argsort(h, kind="stable")
-    h, shape, n = h[order], shape[order], n[order]
+    h, n = h[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[first], shape[first], np.add.reduceat(n, first) if len(h) else n
+    return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
 CHANGES = "block int, task int, at binary, used binary, change binary"
@@ -374,15 +404,15 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     # distinct words are at most a share of the bytes; a bucket's table stays near BUCKET_WORDS
     buckets = max(8, -(-size // (40 * BUCKET_WORDS)))
     most = RANKED if buckets == 1 else min(RANKED, int(1.5 * RANKED / buckets) + 1000)
-    words_of = training.select("text").mapInArrow(_counted(buckets), "bucket int, h binary, shape binary, n binary")
-    tables = cut(words_of.repartitionById(buckets, F.col("bucket")).mapInArrow(_merged(most), "bucket int, h binary, n binary, totals binary, top_h binary, top_n binary, top_shape binary"))
+    words_of = training.select("text").mapInArrow(_counted(buckets), "bucket int, h binary, n binary")
+    tables = cut(words_of.repartitionById(buckets, F.col("bucket")).mapInArrow(_merged(most), "bucket int, h binary, n binary, totals binary, top_h binary, top_n binary"))
     release(spark)
     v = tables.agg(F.coalesce(F.sum(F.length("h") / 8), F.lit(0)).cast("long")).first()[0]
-    found = tables.select("totals", "top_h", "top_n", "top_shape").collect()  # bounded: about 1.5 RANKED words
+    found = tables.select("totals", "top_h", "top_n").collect()  # bounded: about 1.5 RANKED words
     totals = sum((np.frombuffer(r["totals"], np.int64).reshape(2, SHAPES) for r in found), np.zeros((2, SHAPES), np.int64))
-    h, n, shape = (np.concatenate([np.frombuffer(r[k], t) for r in found] or [np.zeros(0, t)]) for k, t in (("top_h", np.uint64), ("top_n", np.int64), ("top_shape", np.uint8)))
+    h, n = (np.concatenate([np.frombuffer(r[k], t) for r in found] or [np.zeros(0, t)]) for k, t in (("top_h", np.uint64), ("top_n", np.int64)))
     top = np.lexsort((h, -n))[:RANKED]
-    vocabulary = Vocabulary(h[top], n[top], shape[top].astype(np.int64), totals, int(totals[0].sum()), int(v))
+    vocabulary = Vocabulary(h[top], n[top], totals, int(totals[0].sum()), int(v))
     model = Model(vocabulary)
     for r in range(ROUNDS if vocabulary.n else 0):
         held = spark.sparkContext.broadcast((vocabulary, model.weights))
@@ -415,7 +445,7 @@ def _scored(held, buckets: int):
             for lo, starts, ends, raw in byte_slices(batch, "text"):
                 t = Tokens(raw, starts, ends)
                 places = v.places(t.hash)
-                leaves = v.leaves_of(places, t.shape)
+                leaves = v.leaves_of(places, t.hash)
                 known = places >= 0
                 logs = np.zeros(len(places))
                 logs[known] = log_counts[places[known]]

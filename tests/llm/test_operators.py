@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from heron.llm import bpe, components, exact_dedup, fingerprints, language_id, lm_scoring, ngram_join, packing, pii, repeats, sharding
 from heron.tables import table
-from tests.llm.test_units import brute_all
+from tests.llm.test_units import brute_all, packed_texts
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, node string, label string, key string, bucket string, cell string, shard string, part string"
@@ -127,13 +127,44 @@ def brute_components(texts):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_ngram_join(docs, texts, small, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SMALL", small)  # with 1, every group goes through the rounds of large groups
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.shingle_components(docs).collect()}
+@pytest.mark.parametrize(("small", "hot"), [(8, 200_000), (1, 200_000), (8, 4), (2, 3)])
+def test_ngram_join(docs, texts, small, hot, monkeypatch):
+    """small 1: every group goes through the rounds of large groups; hot 3 or 4: shared shingles are counted as hot, their sharers dealt into parts."""
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.shingle_components(docs, 1 if hot < 9 else ngram_join.SAMPLE).collect()}
     assert got == brute_components(texts)
 
 
+def test_ngram_prefixes_are_rare_first_by_exact_counts(docs, texts, monkeypatch):
+    """Every entry of every prefix, with its place, against counts over all distinct sets."""
+    repartition = type(docs).repartitionById
+    frames = []
+    monkeypatch.setattr(type(docs), "repartitionById", lambda self, n, c: (frames.append(self), repartition(self, n, c))[1])
+    ngram_join.shingle_components(docs)
+    monkeypatch.undo()
+    entries = frames[2].collect()  # what goes to buckets of shingles to be paired
+    packed = [packed_texts([t]) for t in texts.values()]
+    sets = {}
+    for raw, starts, ends in packed:
+        s = ngram_join.shingle_sets(raw, starts, ends)[0]
+        if len(s):
+            sets[ngram_join.node_of(s, 0)] = s
+    counts = Counter(h for s in sets.values() for h in s.tolist())
+    want = set()
+    for node, s in sets.items():
+        ordered = sorted(s.tolist(), key=lambda h: (counts[h], h))
+        for place, h in enumerate(ordered[: len(s) - -(-len(s) * 3 // 4) + 1]):
+            if counts[h] > 1:
+                want.add((node, h, place, len(s)))
+    got = set()
+    for r in entries:
+        h, about = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["about"], ngram_join.ABOUT)
+        for n, x, a in zip(ngram_join._nodes(r["node"], r["local"], len(h)).tolist(), h.tolist(), about, strict=True):
+            got.add((n, x, int(a["place"]), int(a["size"])))
+    assert got == want
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]
@@ -212,12 +243,12 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
 def lm_of(data: bytes, monkeypatch):
     monkeypatch.setattr(lm_scoring, "LEARNED", 3)
     tokens = lm_scoring.Tokens(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
-    h, first, n = np.unique(tokens.hash, return_index=True, return_counts=True)
-    shape = tokens.shape[first]
+    h, n = np.unique(tokens.hash, return_counts=True)
+    shape = lm_scoring.shapes_of(h)
     totals = np.stack([np.bincount(shape, weights=n, minlength=lm_scoring.SHAPES), np.bincount(shape, minlength=lm_scoring.SHAPES)]).astype(np.int64)
     top = np.lexsort((h, -n))
-    v = lm_scoring.Vocabulary(h[top], n[top], shape[top], totals, int(n.sum()), len(h))
-    return tokens, v, v.leaves_of(v.places(tokens.hash), tokens.shape)
+    v = lm_scoring.Vocabulary(h[top], n[top], totals, int(n.sum()), len(h))
+    return tokens, v, v.leaves_of(v.places(tokens.hash), tokens.hash)
 
 
 def test_lm_learns_in_minibatches_of_4096_whatever_is_scored_at_once(monkeypatch):
@@ -266,7 +297,7 @@ def test_lm_scores_follow_the_plain_softmax_and_add_up(monkeypatch):
             assert sum(10 ** plain_log10(trainer.model, features, x) for x in range(v.leaves)) == pytest.approx(1, abs=1e-4)
     # inside a shape: all words without leaves, and one unseen
     for k in range(lm_scoring.SHAPES):
-        rest = [c for c, s in zip(v.counts[v.head :].tolist(), [int(tokens.shape[tokens.hash == h][0]) for h in v.by_hash[np.argsort(v.place)][v.head :]], strict=True) if s == k]
+        rest = [c for c, h in zip(v.counts[v.head :].tolist(), v.by_hash[np.argsort(v.place)][v.head :].tolist(), strict=True) if h % lm_scoring.SHAPES == k]
         assert sum(c + 1 for c in rest) + 1 == pytest.approx(10 ** -v.log_share[k])
 
 
@@ -291,9 +322,9 @@ def test_lm_changes_are_averaged_level_by_level(spark):
         assert got == pytest.approx(sums / np.maximum(1, uses)[:, None], abs=1e-4)
 
 
-@pytest.mark.parametrize("rows", [3_000, 10])
-def test_fingerprints(docs, texts, rows, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows)
+@pytest.mark.parametrize("size", [8 << 20, 3_000])
+def test_fingerprints(docs, texts, size, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
     ids = sorted(texts)
     assert sorted(got) == ids
@@ -306,6 +337,47 @@ def test_fingerprints(docs, texts, rows, monkeypatch):
         assert r["near_edited"] == pytest.approx(fingerprints.likeness(prints[i], own)) and r["near_next"] == pytest.approx(fingerprints.likeness(prints[i], prints[following]))
 
 
+def test_ranges_split_repeated_ids(spark, monkeypatch):
+    """Rows of one doc_id, and of none, are dealt into ranges too; every row meets its next in the order."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 400)
+    r = random.Random(3)
+    rows = [(i, words(r, 12)) for i in [7] * 60 + [None] * 40 + [-(2**63)] * 3 + list(range(20))] + [(7, "the same"), (7, "the same"), (7, "the same")]
+    frames = []
+    repartition = type(spark.range(1)).repartitionById
+    monkeypatch.setattr(type(spark.range(1)), "repartitionById", lambda self, n, c: (frames.append(n), repartition(self, n, c))[1])
+    got = fingerprints.fingerprints(frame(spark, rows)).collect()
+    assert frames[0] > 8 and len(got) == len(rows)
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 2).alias("tie")).collect()
+    ordered = [x["text"] for x in sorted(keyed, key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, x["tie"], x["text"]))]
+    prints = fingerprints.fingerprint_texts(ordered)
+    want = Counter((fingerprints.to_text(p), round(fingerprints.likeness(p, prints[(i + 1) % len(prints)]), 6)) for i, p in enumerate(prints))
+    assert Counter((x["fingerprint"], round(x["near_next"], 6)) for x in got) == want
+
+
+def test_edit_distance():
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 90))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert fingerprints.edit_distance(a, b) == row[-1]
+
+
+def test_near_documents_are_verified_by_edit_distance(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(1500)) for _ in range(12)]
+    texts_ = base + [x[:900] + "yyyy" + x[904:] for x in base]
+    prints = spark.createDataFrame([(i, fingerprints.to_text(p)) for i, p in enumerate(fingerprints.fingerprint_texts(texts_))], "doc_id long, fingerprint string")
+    given = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    near = {(x["a"], x["b"]): x["near"] for x in fingerprints.near_documents(prints, texts=given).collect()}
+    assert near and all(b == a + 12 and n == pytest.approx(1 - 4 / 1500, abs=1e-3) for (a, b), n in near.items())
+    other = spark.createDataFrame([(i, t if i < 12 else "z" * 1500) for i, t in enumerate(texts_)], "doc_id long, text string")
+    assert fingerprints.near_documents(prints, texts=other).count() == 0  # alike fingerprints alone aren't enough
+
+
 def test_near_documents(spark):
     r = random.Random(1)
     base = ["".join(r.choice("abcdefgh ") for _ in range(3000)) for _ in range(40)]
@@ -463,14 +535,18 @@ def brute_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("array", [2 << 20, 1])
-def test_repeats(docs, texts, array, monkeypatch):
+@pytest.mark.parametrize(("array", "hot"), [(2 << 20, 100_000), (1, 100_000), (2 << 20, 3), (2 << 20, 12)])
+def test_repeats(docs, texts, array, hot, monkeypatch):
+    """With hot 3 or 12, anchors that occur so often are dealt out window by window."""
     monkeypatch.setattr(repeats, "ARRAY", array)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeated_spans(docs).collect()}
+    monkeypatch.setattr(repeats, "HOT", hot)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeated_spans(docs, 1 if hot < 99 else repeats.SAMPLE).collect()}
     assert got == brute_removal(texts)
 
 
-def test_repeats_keep_a_passage_of_repeated_rows_in_separate_batches(spark):
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_repeats_keep_a_passage_of_repeated_rows_in_separate_batches(spark, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
     r = random.Random(5)
     passage = words(r, 80)
     first, later = f"{words(r, 40)} {passage} {words(r, 40)}", f"{words(r, 40)} {passage} {words(r, 40)}"
@@ -478,7 +554,7 @@ def test_repeats_keep_a_passage_of_repeated_rows_in_separate_batches(spark):
     own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     try:
-        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeated_spans(rows).collect())
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeated_spans(rows, 1).collect())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
     once = brute_removal({1: first, 2: later})
