@@ -120,8 +120,8 @@ def _new_sets(batches, seed: int):
         yield nodes, sets
 
 
-def _shown_counts(batches):
-    """Shingles of sampled nodes with how many of a batch hold them."""
+def shown_counts(batches):
+    """Distinct numbers in byte strings of a batch, and how often they occur."""
     for batch in batches:
         if len(batch):
             h, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]), return_counts=True)
@@ -434,7 +434,7 @@ def _hot(rows: DataFrame, total: int, sample: int) -> HotShingles:
     """Shingles that HOT nodes or more hold, by the sampled ones; the driver gets at most MOST_HOT of them, by the choice of HOT."""
     least = max(HOT, -(-total // MOST_HOT))
     sampled = rows.filter("shown IS NOT NULL AND n_shingles > 0").dropDuplicates(["node"]).select("shown")
-    counts = sampled.mapInArrow(_shown_counts, "h long, n long").groupBy("h").agg((F.sum("n") * sample).alias("n")).filter(F.col("n") >= least)
+    counts = sampled.mapInArrow(shown_counts, "h long, n long").groupBy("h").agg((F.sum("n") * sample).alias("n")).filter(F.col("n") >= least)
     found = counts.toPandas()
     return HotShingles(found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), least)
 

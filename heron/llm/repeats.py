@@ -6,9 +6,13 @@ occur once in the corpus are dropped; stretches of windows around the others go
 merges equal stretches, builds a suffix array of the rest by induced sorting, and finds equal windows as neighbours
 with a permuted common prefix of 100 bytes. All but the earliest window of each group cover removed bytes.
 
+Anchors at HOT places or more, as counted over the nodes whose hash is divisible by SAMPLE, meet in no one task: their
+stretches, after equal ones of a batch are merged, are dealt out window by window, by 128-bit hashes of the windows'
+bytes, of each of which a batch sends the earliest. HOT grows with the input, so that at most MOST_HOT anchors are hot.
+
 A document is earlier by a smaller doc_id (nulls first; rows of equal doc_ids in the order of their first such row,
 different texts of one doc_id by a hash of the text). Later rows that repeat a text of 100 bytes or more are removed
-whole. Nulls count as empty texts and, like texts under 100 bytes, lose nothing. Extra columns are ignored. An empty
+whole. Very long texts are anchored block by block, with overlaps, and searched whole. Nulls count as empty texts and, like texts under 100 bytes, lose nothing. Extra columns are ignored. An empty
 table gives an empty result.
 """
 
@@ -23,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heron.llm.common import byte_slices, cut, documents, release
-from heron.llm.ngram_join import mix
+from heron.llm.ngram_join import mix, shown_counts
 from heron.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a text that are anchored at once, bytes of a suffix array, entries of a bucket, bytes of a shard's stretches.
 BLOCK, ARRAY, BUCKET_ENTRIES, SHARD = 4 << 20, 2 << 20, 2_000_000, 16 << 20
 
+#: Places that make an anchor hot at least, hot anchors at most, and the share of nodes that are counted for it.
+HOT, MOST_HOT, SAMPLE = 100_000, 1 << 20, 64
+
 _RNG = np.random.Generator(np.random.PCG64(9))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xD6E8FEB86659FD93
@@ -94,10 +101,10 @@ def node_of(data: bytes, seed: int) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(data, seed)).astype(np.int64))
 
 
-def _rows(seed: int):
+def _rows(seed: int, sample: int):
     def run(batches):
         for batch in batches:
-            nodes, sizes, digests, shas = [], [], [], []
+            nodes, sizes, digests, shas, shown = [], [], [], [], []
             for _, starts, ends, raw in byte_slices(batch, "text"):
                 data = raw.tobytes()
                 for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -106,13 +113,33 @@ def _rows(seed: int):
                     sizes.append(b - a)
                     digests.append(xxhash.xxh3_128_digest(own))
                     shas.append(hashlib.sha256(own).hexdigest())
+                    chosen = nodes[-1] % sample == 0 and b - a >= WINDOW
+                    shown.append(runs_of(raw[a:b], np.array([0]), np.array([b - a]))[3].tobytes() if chosen else None)
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(shas, pa.string())], ["doc_id", "node", "n_bytes", "digest", "sha"])
+                columns = [(nodes, pa.int64()), (sizes, pa.int64()), (digests, pa.binary()), (shas, pa.string()), (shown, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in columns]], ["doc_id", "node", "n_bytes", "digest", "sha", "shown"])
 
     return run
 
 
-def _anchors(seed: int, buckets: int):
+def _hot(rows: DataFrame, runs: int, sample: int) -> np.ndarray:
+    """Anchors at HOT places or more, by the sampled nodes, in order; the driver gets at most MOST_HOT, by the choice of HOT."""
+    least = max(HOT, -(-runs // MOST_HOT))
+    sampled = rows.filter("shown IS NOT NULL").dropDuplicates(["node"]).select("shown")
+    counts = sampled.mapInArrow(shown_counts, "h long, n long").groupBy("h").agg((F.sum("n") * sample).alias("n")).filter(F.col("n") >= least)
+    return np.sort(counts.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each number is in a sorted table."""
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def _anchors(seed: int, hot, buckets: int):
+    """Runs of windows by bucket of their anchor; those of hot anchors, which recur, by bucket of their node."""
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -129,54 +156,54 @@ def _anchors(seed: int, buckets: int):
                     seen.add(x)
                 keep = np.array(fresh)[local]
                 at, n, key, local, node = at[keep], n[keep], key[keep], local[keep], np.array(nodes, np.int64)
-                bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                is_hot = _among(key, hot.value)
+                bucket = (np.where(is_hot, node[local].view(np.uint64), key) >> np.uint64(40)).astype(np.int64) % buckets * 2 + is_hot
                 order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                bounds = np.searchsorted(bucket[order], np.arange(2 * buckets + 1))
                 rows = []
-                for b in range(buckets):
+                for b in np.flatnonzero(np.diff(bounds)).tolist():
                     own = order[bounds[b] : bounds[b + 1]]
-                    if len(own):
-                        who, mine = np.unique(local[own], return_inverse=True)
-                        k = key[own]
-                        rows.append((b, node[who].tobytes(), mine.astype(np.uint32).tobytes(), (k & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((k >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), at[own].astype(np.int64 if at[own].max() >= 1 << 31 else np.uint32).tobytes(), n[own].astype(np.uint8).tobytes()))
+                    who, mine = np.unique(local[own], return_inverse=True)
+                    wide = at[own].max() >= 1 << 31
+                    rows.append((b // 2, b % 2 == 1, node[who].tobytes(), mine.astype(np.uint32).tobytes(), key[own].tobytes(), at[own].astype(np.int64 if wide else np.uint32).tobytes(), n[own].astype(np.uint8).tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7)], ["bucket", "node", "local", "low", "high", "at", "n"])
+                    kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["bucket", "hot", "node", "local", "key", "at", "n"])
             if len(seen) > 200_000:
                 seen.clear()
 
     return run
 
 
-#: A run of windows whose anchor recurs: first window, windows, 40 bits of the anchor in its bucket.
-RUN = np.dtype([("at", "<i8"), ("n", "u1"), ("high", "u1"), ("low", "<u4"), ("bucket", "<i4")])
+#: A run of windows whose anchor recurs: anchor, first window, windows.
+RUN = np.dtype([("key", "<u8"), ("at", "<i8"), ("n", "u1")])
 
 
 def _recurring(batches):
     """By node, its runs whose anchor occurs at another place too."""
-    held = []
-    nodes = []
+    held, nodes, always = [], [], []
     for batch in batches:
         for i in range(batch.num_rows):
-            bucket, *blobs = (c[i].as_py() for c in batch.columns)
-            node, local, low, high = (np.frombuffer(x, t) for x, t in zip(blobs[:4], (np.int64, np.uint32, np.uint32, np.uint8), strict=True))
-            run = np.empty(len(low), RUN)
-            run["at"] = np.frombuffer(blobs[4], np.uint32 if len(blobs[4]) == 4 * len(low) else np.int64)
-            run["n"], run["high"], run["low"], run["bucket"] = np.frombuffer(blobs[5], np.uint8), high, low, bucket
+            _, hot, *blobs = (c[i].as_py() for c in batch.columns)
+            node, local, key = (np.frombuffer(x, t) for x, t in zip(blobs[:3], (np.int64, np.uint32, np.uint64), strict=True))
+            run = np.empty(len(key), RUN)
+            run["key"], run["n"] = key, np.frombuffer(blobs[4], np.uint8)
+            run["at"] = np.frombuffer(blobs[3], np.uint32 if len(blobs[3]) == 4 * len(key) else np.int64)
             held.append(run)
             nodes.append(node[local])
+            always.append(np.full(len(key), hot))
     if not held:
         return
-    run, node = np.concatenate(held), np.concatenate(nodes)
+    run, node, always = np.concatenate(held), np.concatenate(nodes), np.concatenate(always)
     del held, nodes
-    key = (run["bucket"].astype(np.int64) << 40) | (run["high"].astype(np.int64) << 32) | run["low"].astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    order = np.argsort(run["key"], kind="stable")
+    key = run["key"][order]
     # copies of a node came from several workers: an anchor recurs if it stands at two places
     same = key[1:] == key[:-1]
     moved = same & ((node[order][1:] != node[order][:-1]) | (run["at"][order][1:] != run["at"][order][:-1]))
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     several = np.add.reduceat(np.concatenate([[False], moved]).astype(np.int64), first) > 0
-    keep = order[np.repeat(several, np.diff(first, append=len(key)))]
+    keep = order[np.repeat(several, np.diff(first, append=len(key))) | always[order]]
     keep = keep[np.argsort(node[keep], kind="stable")]
     run, node = run[keep], node[keep]
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
@@ -197,8 +224,11 @@ def _spans(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.concatenate([[0], gap + 1])].tolist(), (places[np.concatenate([gap, [len(places) - 1]])] + WINDOW).tolist(), strict=True))
 
 
-def _stretches(seed: int, shards: int):
-    """Stretches of text by shard; of equal stretches that one task holds, all but the earliest are settled here."""
+def _stretches(seed: int, hot, shards: int):
+    """Stretches of text by shard; of equal stretches that one task holds, all but the earliest are settled here.
+
+    Stretches of hot anchors go window by window, each by its own hash, and equal windows are settled here likewise.
+    """
 
     def run(batches):
         for batch in batches:
@@ -217,8 +247,7 @@ def _stretches(seed: int, shards: int):
                     doc_id = ids[lo + i].as_py()
                     order = (doc_id is not None, doc_id or 0, node)
                     runs = np.unique(np.concatenate([np.frombuffer(x, RUN) for x in blobs[lo + i].as_py()]))
-                    key = (runs["bucket"].astype(np.int64) << 40) | (runs["high"].astype(np.int64) << 32) | runs["low"].astype(np.int64)
-                    for at, n, k in zip(runs["at"].tolist(), runs["n"].tolist(), key.tolist(), strict=True):
+                    for at, n, k in zip(runs["at"].tolist(), runs["n"].tolist(), runs["key"].tolist(), strict=True):
                         own, mine = (k, text[at : at + n + WINDOW - 1]), (*order, at)
                         other = best.get(own)
                         if other is None:
@@ -227,22 +256,44 @@ def _stretches(seed: int, shards: int):
                             best[own] = min(other, mine)
                             late.append((max(other, mine)[2:], n))
             by: dict[int, list] = {}
-            for (k, text), order in best.items():
-                by.setdefault(hash_of(k) % shards, []).append((k, text, order))
+            windows: dict[int, tuple] = {}
+            keys = np.fromiter((k for k, _ in best), np.uint64, len(best))
+            for ((k, text), order), is_hot in zip(best.items(), _among(keys, hot.value).tolist(), strict=True):
+                if not is_hot:
+                    by.setdefault(hash_of(k) % shards, []).append((k, text, order))
+                    continue
+                for j in range(len(text) - WINDOW + 1):
+                    own, mine = xxhash.xxh3_128_intdigest(text[j : j + WINDOW]), (*order[:3], order[3] + j)
+                    other = windows.setdefault(own, mine)
+                    if other != mine:
+                        windows[own] = min(other, mine)
+                        late.append((max(other, mine)[2:], 1))
             rows = []
             for shard, own in by.items():
-                rows.append((shard, b"".join(x[1] for x in own), np.array([(x[0], x[2][1] if x[2][0] else 0, x[2][0], x[2][2], x[2][3], len(x[1])) for x in own], STRETCH).tobytes(), None))
+                rows.append((shard, b"".join(x[1] for x in own), np.array([(x[0], x[2][1] if x[2][0] else 0, x[2][0], x[2][2], x[2][3], len(x[1])) for x in own], STRETCH).tobytes(), None, None))
+            apart: dict[int, list] = {}
+            for own, (known, doc_id, node, at) in windows.items():
+                apart.setdefault((own >> 64) % shards, []).append((own >> 64, own & ((1 << 64) - 1), known, doc_id if known else 0, node, at))
+            for shard, own in apart.items():
+                rows.append((shard, None, None, None, np.array(own, ALONE).tobytes()))
             if late:
-                rows.append((0, None, None, np.array([(node, at, n) for (node, at), n in late], LATE).tobytes()))
+                rows.append((by_node(batch) % shards, None, None, np.array([(node, at, n) for (node, at), n in late], LATE).tobytes(), None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 4)], ["shard", "text", "about", "late"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)], ["shard", "text", "about", "late", "windows"])
 
     return run
 
 
 #: A stretch: anchor, doc_id and whether it has one, node, first window, bytes. A settled run: node, first window, windows.
-STRETCH = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("known", "u1"), ("node", "<i8"), ("at", "<i8"), ("bytes", "<i4")])
+STRETCH = np.dtype([("key", "<u8"), ("doc_id", "<i8"), ("known", "u1"), ("node", "<i8"), ("at", "<i8"), ("bytes", "<i4")])
 LATE = np.dtype([("node", "<i8"), ("at", "<i8"), ("n", "<i4")])
+#: A window of a hot anchor by itself: its hash, whether its document has a doc_id, doc_id, node, place.
+ALONE = np.dtype([("high", "<u8"), ("low", "<u8"), ("known", "u1"), ("doc_id", "<i8"), ("node", "<i8"), ("at", "<i8")])
+
+
+def by_node(batch) -> int:
+    """Any of a batch's nodes: what a batch settles goes to a shard of its own choice, so that none gets it all."""
+    return int(batch.column(2)[0].as_py()) & 0x7FFFFFFF
 
 
 def hash_of(key: int) -> int:
@@ -287,17 +338,23 @@ def _shard(batches):
     out: dict[int, list] = {}
 
     def add(nodes, places):
+        if not len(nodes):
+            return
         order = np.lexsort((places, nodes))
         nodes, places = nodes[order], places[order]
-        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else []
+        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
         for a, b in zip(first, [*first[1:], len(nodes)], strict=True):
             out.setdefault(int(nodes[a]), []).extend(_spans(places[a:b]))
 
     held: dict[int, dict] = {}
+    alone: list[np.ndarray] = []
     size = 0
     for batch in batches:
         for i in range(batch.num_rows):
-            _, text, about, late = (c[i].as_py() for c in batch.columns)
+            _, text, about, late, windows = (c[i].as_py() for c in batch.columns)
+            if windows is not None:
+                alone.append(np.frombuffer(windows, ALONE))
+                continue
             if late is not None:
                 for node, at, n in np.frombuffer(late, LATE).tolist():
                     out.setdefault(node, []).append((at, at + n - 1 + WINDOW))
@@ -315,6 +372,14 @@ def _shard(batches):
                     group[own] = min(other, mine)
                     _, _, node, at = max(other, mine)
                     out.setdefault(node, []).append((at, at + n))
+    if alone:
+        w = np.concatenate(alone)
+        w = w[np.lexsort((w["at"], w["node"], w["doc_id"], w["known"], w["low"], w["high"]))]
+        first = np.flatnonzero(np.concatenate([[True], (w["high"][1:] != w["high"][:-1]) | (w["low"][1:] != w["low"][:-1])]))
+        least = w[np.repeat(first, np.diff(first, append=len(w)))]
+        later = (w["node"] != least["node"]) | (w["at"] != least["at"])  # the same place once more came in another batch
+        add(w["node"][later], w["at"][later])
+        del alone, w, least
     # anchors are independent of each other: an array takes whole anchors, as many as fit
     keys = sorted(held)
     lo = 0
@@ -384,13 +449,13 @@ def _with_text(source: DataFrame, about: DataFrame) -> DataFrame:
     return source.join(about, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "doc_id", "node", "blobs")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seed = 0
     while True:
-        rows = cut(source.mapInArrow(_rows(seed), "doc_id long, node long, n_bytes long, digest binary, sha string").withColumn("row", F.monotonically_increasing_id()))
+        rows = cut(source.mapInArrow(_rows(seed, sample), "doc_id long, node long, n_bytes long, digest binary, sha string, shown binary").withColumn("row", F.monotonically_increasing_id()))
         classes = rows.groupBy("node", "digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.max("n_bytes").alias("n"))
         if classes.groupBy("node").count().filter("count > 1").isEmpty():
             break
@@ -398,14 +463,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     classes = cut(classes.select("node", F.col("first.doc_id").alias("id"), F.col("first.row").alias("first_row"), "n"))
     texts = source.select("text")
     windows = classes.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.col("n") - (WINDOW - 1))), F.lit(0))).first()[0]
-    buckets = max(8, -(-2 * windows // ((WINDOW - GRAM + 2) * BUCKET_ENTRIES)))
-    anchors = texts.mapInArrow(_anchors(seed, buckets), "bucket int, node binary, local binary, low binary, high binary, at binary, n binary")
+    runs = 2 * windows // (WINDOW - GRAM + 2)
+    buckets = max(8, -(-runs // BUCKET_ENTRIES))
+    hot = spark.sparkContext.broadcast(_hot(rows, runs, sample))
+    anchors = texts.mapInArrow(_anchors(seed, hot, buckets), "bucket int, hot boolean, node binary, local binary, key binary, at binary, n binary")
     recurring = cut(anchors.repartitionById(buckets, F.col("bucket")).mapInArrow(_recurring, "node long, runs binary, bytes long"))
     del anchors
     release(spark)
     shards = max(8, -(-(recurring.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // SHARD))
     about = recurring.groupBy("node").agg(F.collect_list("runs").alias("blobs")).join(classes, "node")
-    stretches = _with_text(source, about).mapInArrow(_stretches(seed, shards), "shard int, text binary, about binary, late binary")
+    stretches = _with_text(source, about).mapInArrow(_stretches(seed, hot, shards), "shard int, text binary, about binary, late binary, windows binary")
     spans = cut(stretches.repartitionById(shards, F.col("shard")).mapInArrow(_shard, "node long, spans binary"))
     del stretches, about, recurring
     release(spark)
