@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from heron.plans import prompts, providers
 from heron.plans.answer import answer
@@ -12,6 +13,10 @@ from heron.sources.knowledge_base import Store, build, write_markdown
 from heron.tables import TABLES, table
 
 
+#: Pages that are written at a time.
+AUTHORS = 8
+
+
 def table_page(name: str, columns: list[tuple[str, str]], keys: list[tuple[str, str, str]]) -> str:
     """A knowledge-base page of a table, from its schema."""
     lines = ["---", f"name: {name}", f"description: Columns and keys of {name}", "tags: [table]", "priority: medium"]
@@ -24,11 +29,14 @@ def generate(spark, sf_dir: str, root: str, overwrite: bool = False) -> int:
     """Pages for every table of sf_dir; foreign keys follow from names that end alike. How many were written."""
     frames = {t: table(spark, sf_dir, t) for t in TABLES}
     keys = {c.name.split("_", 1)[1]: (t, c.name) for t, df in frames.items() for c in df.schema[:1] if "_" in c.name}
-    n = 0
-    for t, df in frames.items():
+
+    def page(t: str, df) -> int:
         found = [(c, *keys[c.split("_", 1)[1]]) for c in df.columns[1:] if "_" in c and c.split("_", 1)[1] in keys and keys[c.split("_", 1)[1]][0] != t]
-        n += write_markdown(f"{root}/ddl/{t}.md", table_page(t, df.dtypes, found), overwrite)
-    n += write_markdown(f"{root}/ddl/KB.md", "---\nname: ddl\ndescription: Tables\n---\n\nThe tables of the warehouse.\n", overwrite)
+        return write_markdown(f"{root}/ddl/{t}.md", table_page(t, df.dtypes, found), overwrite, spark)
+
+    with ThreadPoolExecutor(AUTHORS) as pool:
+        n = sum(pool.map(lambda x: page(*x), frames.items()))
+    n += write_markdown(f"{root}/ddl/KB.md", "---\nname: ddl\ndescription: Tables\n---\n\nThe tables of the warehouse.\n", overwrite, spark)
     return n
 
 
@@ -45,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = session()
     store = Store(spark, os.path.abspath(a.store))
     if a.command == "generate":
-        print(generate(spark, a.data, a.root, a.overwrite), "pages written")
+        print(generate(spark, a.data, os.path.abspath(a.root), a.overwrite), "pages written")
     elif a.command == "build":
         print(build(spark, os.path.abspath(a.root), store, providers.HashingEmbedder()))
     elif a.command == "status":

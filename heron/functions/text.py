@@ -14,6 +14,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def spaced(text: Column) -> Column:
+    """The tokens in one string, each between two blanks of its own: counting them takes no arrays and stays in compiled code."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  ")), F.lit(" "))
+
+
+def count_of(token: str, held: Column) -> Column:
+    """How often a token stands in a spaced() string."""
+    return ((F.length(held) - F.length(F.replace(held, F.lit(f" {token} "), F.lit("")))) / (len(token) + 2)).cast("int")
+
+
+def count_of_all(held: Column) -> Column:
+    """Tokens of a spaced() string."""
+    return F.when(F.trim(held) == "", 0).otherwise(F.length(held) - F.length(F.replace(held, F.lit("  "), F.lit(" "))) + 1)
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each word, padded by two blanks in front and one behind."""
     padded = F.transform(tokens(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))

@@ -72,12 +72,13 @@ def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     "upsert_snapshot",
     "SNK1",
     """SELECT coalesce(s.k, d.k) AS k, coalesce(d.v, s.v) AS v, coalesce(s.created, 2) AS created_at, CASE WHEN d.k IS NULL THEN 1 ELSE 2 END AS updated_at
-    FROM (SELECT doc_id AS k, source AS v, 1 AS created FROM documents WHERE doc_id % 2 = 0) s FULL OUTER JOIN (SELECT doc_id AS k, lang AS v FROM documents WHERE doc_id % 3 = 0) d ON d.k = s.k""",
+    FROM (SELECT doc_id AS k, source AS v, 1 AS created FROM documents WHERE coalesce(lang, '') <> 'en') s FULL OUTER JOIN (SELECT doc_id AS k, lang AS v FROM documents WHERE coalesce(lang, '') <> 'de') d ON d.k = s.k""",
 )
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot without one language meets a delta without another: rows are inserted, updated and kept."""
     docs = table(spark, sf_dir, "documents")
-    stored = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("k"), F.col("source").alias("v"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
-    delta = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("k"), F.col("lang").alias("v"))
+    stored = docs.filter("coalesce(lang, '') <> 'en'").select(F.col("doc_id").alias("k"), F.col("source").alias("v"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    delta = docs.filter("coalesce(lang, '') <> 'de'").select(F.col("doc_id").alias("k"), F.col("lang").alias("v"))
     return upserted(stored, delta, "k", F.lit(2))
 
 

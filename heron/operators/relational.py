@@ -54,7 +54,7 @@ sql_query(
     "in_between_null",
     "FIL6 FIL7 FN14",
     "orders",
-    "SELECT o_orderkey, cast(o_orderdate AS date) AS day, nullif(o_orderstatus, 'P') AS status FROM {orders} WHERE cast(o_orderdate AS date) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' AND o_orderkey BETWEEN 1 AND 8000 AND nullif(o_orderstatus, 'P') IS NOT NULL",
+    "SELECT o_orderkey, cast(o_orderdate AS date) AS day, nullif(o_orderstatus, 'P') AS status FROM {orders} WHERE cast(o_orderdate AS date) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' AND nullif(o_orderstatus, 'P') IS NOT NULL",
 )
 sql_query("is_null_count", "FIL7 FN1", "orders", "SELECT o_orderpriority, cast(count(*) AS bigint) AS n, coalesce(nullif(o_orderpriority, '5-LOW'), 'none') AS label FROM {orders} WHERE nullif(o_orderstatus, 'O') IS NULL GROUP BY o_orderpriority")
 sql_query(

@@ -149,7 +149,7 @@ _LEV = "cast(floor(100 * (1 - levenshtein(lower(literal), lower(candidate))::dou
 )
 def resolution_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With an edit-distance stand-in for the exact score, which SQL lacks; tests cover the exact one."""
-    pairs = distinct_values(table(spark, sf_dir, "part"), "p_name").crossJoin(F.broadcast(_literals(spark)))
+    pairs = _pairs(_literals(spark), distinct_values(table(spark, sf_dir, "part"), "p_name"))
     points = F.floor(100 * (1 - F.levenshtein(F.lower("literal"), F.lower("candidate")) / F.greatest(F.length("literal"), F.length("candidate")))).cast("int")
     return decisions(pairs, points)
 

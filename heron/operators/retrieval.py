@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heron.functions.text import tokens
+from heron.functions.text import count_of, count_of_all, spaced, tokens
 from heron.functions.vectors import cosine, of_dimension, serialised
 from heron.operators.catalogue import query, sql_query
 from heron.tables import table
@@ -37,13 +37,10 @@ def dense_rank_lists(vectors: DataFrame, queries: DataFrame, k: int = PER_LIST,
     return top_k(scored, ["list_id", *groups], [F.desc("cosine"), F.asc("key")], k)
 
 
-def equals(word: str):
-    return lambda x: x == word
-
-
 def bm25(docs: DataFrame, terms: list[str], k: int | None = PER_LIST) -> DataFrame:
     """(key, score) of the documents (key, text) that hold any of the terms, by BM25."""
-    counted = docs.withColumn("t", tokens(F.coalesce("text", F.lit("")))).select("key", F.size("t").alias("dl"), *[F.size(F.filter("t", equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    held = F.col("t")
+    counted = docs.withColumn("t", spaced(F.coalesce("text", F.lit("")))).select("key", count_of_all(held).alias("dl"), *[count_of(w, held).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counted.filter(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -62,7 +59,7 @@ def reciprocal_rank_fusion(lists: DataFrame, keys: list[str], k: int = RRF_K) ->
 
 def with_mandatory(fused: DataFrame, mandatory: DataFrame, top: int) -> DataFrame:
     """The best `top` rows apart from the mandatory ones, then those, with scores of 0 where no list had them."""
-    free = fused.join(F.broadcast(mandatory), "key", "left_anti").orderBy(F.desc("rrf_score"), "key").limit(top).withColumn("mandatory", F.lit(False))
+    free = fused.join(mandatory, "key", "left_anti").orderBy(F.desc("rrf_score"), "key").limit(top).withColumn("mandatory", F.lit(False))
     forced = mandatory.join(fused, "key", "left").select("key", F.coalesce("rrf_score", F.lit(0.0)).alias("rrf_score"), F.coalesce("best_cosine", F.lit(0.0)).alias("best_cosine"), F.lit(True).alias("mandatory"))
     return free.select("key", "rrf_score", "best_cosine", "mandatory").unionByName(forced)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heron.functions.text import tokens
 from heron.operators import retrieval as R
@@ -14,6 +15,7 @@ from heron.plans import dialect as dialects
 from heron.plans import prompts, providers
 from heron.plans.patch import Resolution, resolve
 from heron.plans.verify import executable, formatted, parsed_review, tables_of, verify
+from heron.session import materialised
 from heron.sources.knowledge_base import Store
 
 ALWAYS = ("response_guidelines",)
@@ -39,6 +41,7 @@ class Context:
 class Answer:
     category: str
     sql: str = ""
+    text: str = ""  # what is said instead of a result
     result: DataFrame | None = None
     error: str | None = None
     findings: list[str] = field(default_factory=list)
@@ -62,12 +65,10 @@ def retrieve(spark: SparkSession, store: Store, question: str, embedder, router=
         lexical = R.top_k(scored, ["section"], [F.desc("score"), F.asc("key")], R.PER_LIST)
         lists = lists.unionByName(lexical.select(F.lit(len(out.variants)).alias("list_id"), "key", "section", F.lit(None).cast("double").alias("cosine"), "rank"))
     fused = R.across_sections(R.reciprocal_rank_fusion(lists, ["section", "key"]))
-    held = fused.join(leaves.withColumnRenamed("file_path", "key").drop("section", "embedding"), "key").collect()  # ten rows
-    words = set(terms)
-    ranked = sorted(held, key=lambda r: (-len(words & set(providers.WORD.findall((r["text"] or "").lower()))) / max(1, len(words)), -r["rrf_score"], r["key"]))
-    scores = [len(words & set(providers.WORD.findall((r["text"] or "").lower()))) / max(1, len(words)) for r in ranked]
-    if ranked:
-        candidates = spark.createDataFrame([(i + 1, r["name"] or r["key"], float(s)) for i, (r, s) in enumerate(zip(ranked, scores, strict=True))], "rank int, name string, score double")
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("rrf_score"), "key")  # ten rows
+    held = fused.join(leaves.withColumnRenamed("file_path", "key").drop("section", "embedding"), "key").withColumn("rank", F.row_number().over(order))
+    candidates = materialised(R.rerank(held.select(F.coalesce("name", "key").alias("name"), F.coalesce("text", F.lit("")).alias("text"), "rank"), " ".join(terms)).select("rank", "name", F.col("relevance").alias("score")))
+    if not candidates.isEmpty():
         known = files.select(F.coalesce("name", "file_path").alias("name"), "content", F.col("metadata.fk_to").alias("fk_to"), F.col("metadata.related_tables").alias("related_tables"), "is_entry_point")
         kept = R.final_cut(R.elbow(R.expand_foreign_keys(candidates, R.references(known), known)), top).collect()
         names = [r["name"] for r in sorted(kept, key=lambda r: (r["expanded"], r["rank"] or 0, r["name"]))]
@@ -92,14 +93,14 @@ def retrieve(spark: SparkSession, store: Store, question: str, embedder, router=
 
 
 def execute(spark: SparkSession, sql: str) -> tuple[bool, DataFrame | str]:
-    """(True, result) or (False, message); the statement is analysed here and runs when the result is read."""
+    """(True, result) or (False, message). The statement runs here, once, so failures at run time are messages too."""
     try:
-        return True, spark.sql(sql)
+        return True, materialised(spark.sql(sql))
     except Exception as e:  # noqa: BLE001  the message goes back to the writer
         return False, str(e).splitlines()[0]
 
 
-def answer(spark: SparkSession, question: str, tables: dict[str, DataFrame], writer, store: Store | None = None, embedder=None, gate=None, reviewer=None, dialect: str = "spark", resolve_entities: bool = True) -> Answer:
+def answer(spark: SparkSession, question: str, tables: dict[str, DataFrame], writer, store: Store | None = None, embedder=None, gate=None, reviewer=None, replier=None, dialect: str = "spark", resolve_entities: bool = True) -> Answer:
     """The whole lifecycle. The order is verification, review, entity resolution, execution, then one retry."""
     seconds: dict[str, float] = {}
 
@@ -114,7 +115,7 @@ def answer(spark: SparkSession, question: str, tables: dict[str, DataFrame], wri
     vocabulary = {w for t, cols in registry.items() for w in [t, *cols]}
     category = timed("gate", lambda: (gate or providers.LocalGate()).category(question, vocabulary))
     if category != "SQL_RELEVANT":
-        return Answer(category, seconds=seconds)
+        return Answer(category, text=timed("reply", lambda: (replier or providers.LocalReplier()).reply(category, question, registry)), seconds=seconds)
     context = timed("retrieval", lambda: retrieve(spark, store, question, embedder or providers.HashingEmbedder())) if store else Context()
     text = prompts.prompt(question, registry, dialect, [t["content"] for t in context.tables], [g["content"] for g in context.guidelines], [r["content"] for r in context.rules], [a["content"] for a in context.always])
     for name, df in tables.items():

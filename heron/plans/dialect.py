@@ -59,15 +59,17 @@ def to_spark(sql: str, dialect: str | None = None) -> str:
         text = re.sub(r"\bextract\s*\(\s*year\s+from\s+age\s*\(([^(),]+),([^(),]+)\)\s*\)", r"floor(months_between(\1,\2,false) / 12)", text, flags=re.I)
         return text
 
-    out = []
+    # strings, names and comments are held apart as numbers, so that rewrites see through them and leave them alone
+    out, held = [], []
     for kind, a, b in pieces(sql):
         part = sql[a:b]
-        if kind == "code":
-            part = code(part)
-        elif kind == "name" and part[0] == '"':
+        if kind == "name" and part[0] == '"':
             part = "`" + part[1:-1].replace('""', '"') + "`"
+        if kind != "code":
+            held.append(part)
+            part = f"\0{len(held) - 1}\0"
         out.append(part)
-    text = "".join(out)
+    text = re.sub("\0(\\d+)\0", lambda m: held[int(m[1])], code("".join(out)))
     if normalised(dialect) == "tsql":
         found = re.match(r"(?is)\s*select\s+(?:distinct\s+)?top\s*\(?\s*(\d+)\s*\)?\s", text)
         if found:

@@ -12,7 +12,9 @@ from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heron.functions.text import trigram_similarity
 from heron.operators.resolution import decisions, distinct_values, prefix_candidates, trigram_candidates
+from heron.plans.providers import fenced_sql
 from heron.plans.tree import Block, Expr, Query, SetOp, Statement, blocks, parse
 
 PATCHED = {"EqualTo": "=", "Like": "like", "ILike": "ilike"}
@@ -138,10 +140,38 @@ def patched(spark: SparkSession, sql: str, column: str, value: str, corrected: s
     return sql
 
 
-def resolve(spark: SparkSession, sql: str, tables: dict[str, DataFrame], trigrams: bool = True) -> Resolution:
+def patched_by_writer(spark: SparkSession, sql: str, column: str, value: str, corrected: str, writer) -> str:
+    """The statement as a model-backed writer corrects it; if what comes back can't be parsed or lacks the value, as patched() does."""
+    asked = f"In this statement, replace the value {value!r} that is compared with {column} by {corrected!r}. Change nothing else.\n{sql}"
+    try:
+        found = fenced_sql(writer.sql(asked, sql))
+        parse(spark, found)
+    except Exception:  # noqa: BLE001  a failed writer leaves the plain way
+        found = ""
+    return found if corrected.replace("'", "''") in found else patched(spark, sql, column, value, corrected)
+
+
+_CAPABLE: dict[str, bool] = {}
+
+
+def trigrams_available(spark: SparkSession) -> bool:
+    """Whether the session can compare trigrams: asked once an application; heron.trigrams.enabled = false turns them off."""
+    if spark.conf.get("heron.trigrams.enabled", "true").lower() == "false":
+        return False
+    key = spark.sparkContext.applicationId
+    if key not in _CAPABLE:
+        try:
+            _CAPABLE[key] = spark.range(1).select(trigram_similarity(F.lit("ab"), F.lit("ab")).alias("s")).first()["s"] == 1.0
+        except Exception:  # noqa: BLE001  what fails isn't there
+            _CAPABLE[key] = False
+    return _CAPABLE[key]
+
+
+def resolve(spark: SparkSession, sql: str, tables: dict[str, DataFrame], trigrams: bool | None = None) -> Resolution:
     """Check each entity of a statement against the live values of its column and correct its literals. Never raises."""
     out = Resolution(sql)
     try:
+        trigrams = trigrams_available(spark) if trigrams is None else trigrams
         for e in entities(spark, sql):
             if e.table not in tables or e.source not in [c.lower() for c in tables[e.table].columns]:
                 continue

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.functions.text import tokens
@@ -51,6 +51,10 @@ class Reviewer(Protocol):
     def review(self, sql: str, errors: list[str], prompt: str) -> str: ...
 
 
+class Replier(Protocol):
+    def reply(self, category: str, question: str, registry: dict[str, list[str]]) -> str: ...
+
+
 class HashingEmbedder:
     """Signed hashing of words, scaled to length 1. Built from DataFrame functions, so it runs in the JVM."""
 
@@ -65,6 +69,29 @@ class HashingEmbedder:
         return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
 
 
+def embedded(embedder: Embedder, text: str | None, spark: SparkSession) -> list[float]:
+    """The vector of one text, which must not be blank; transient failures are tried again."""
+    if not (text or "").strip():
+        raise ValueError("an empty text has no embedding")
+    row = retried(lambda: spark.range(1).select(embedder.embed(F.lit(text)).alias("v")).first())
+    if len(row["v"]) != embedder.dimension:
+        raise ValueError(f"{len(row['v'])} numbers instead of {embedder.dimension}")
+    return list(row["v"])
+
+
+def embedded_batch(embedder: Embedder, texts: DataFrame, column: str = "text", into: str = "embedding") -> DataFrame:
+    """texts with the vectors of a column, row by row, so positions stay; blank texts count as one blank.
+
+    A table without rows raises, here; a vector of another length than the embedder's raises when it's computed.
+    """
+    if texts.isEmpty():
+        raise ValueError("no texts to embed")
+    text = F.when(F.trim(F.coalesce(F.col(column), F.lit(""))) == "", F.lit(" ")).otherwise(F.col(column))
+    vector = embedder.embed(text)
+    fits = F.size(vector) == embedder.dimension
+    return texts.withColumn(into, F.when(fits, vector).otherwise(F.raise_error(F.lit(f"an embedding hasn't {embedder.dimension} numbers"))))
+
+
 def retried(call: Callable, attempts: int = 3, first_wait: float = 1.0, transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)):
     """call(), again after 1, 2, 4 ... times first_wait on a transient error."""
     for n in range(attempts):
@@ -87,6 +114,20 @@ class LocalGate:
         return "SQL_RELEVANT"  # when in doubt, a question about the data
 
 
+class LocalReplier:
+    """What to say where no statement is asked for; a question about the data is answered from the registry."""
+
+    SAID = {
+        "GREETING": "Hello. Ask a question about the data.",
+        "HARMFUL": "Only questions that read data are answered.",
+    }
+
+    def reply(self, category: str, question: str, registry: dict[str, list[str]]) -> str:
+        if category == "META":
+            return f"{len(registry)} tables can be asked about: " + "; ".join(f"{t} ({len(cols)} columns)" for t, cols in sorted(registry.items())) + "."
+        return self.SAID.get(category, "That isn't a question about the data.")
+
+
 class LocalRouter:
     def sections(self, question: str) -> list[str]:
         words = set(WORD.findall(question.lower())) - STOP

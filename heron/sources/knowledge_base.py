@@ -192,8 +192,20 @@ def build(spark: SparkSession, root: str, store: Store, embedder) -> dict[str, i
     return {n: counts.get(n, 0) for n in names} | {"total": sum(counts.values())}
 
 
-def write_markdown(path: str, text: str, overwrite: bool = False) -> bool:
-    """Write a knowledge-base file on the driver; an existing one stays unless overwrite. Whether it was written."""
+def write_markdown(path: str, text: str, overwrite: bool = False, spark: SparkSession | None = None) -> bool:
+    """Write a knowledge-base file; an existing one stays unless overwrite. Whether it was written.
+
+    With a session, path may be in any store that Spark reaches; else it's on the driver.
+    """
+    if spark is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(place) and not overwrite:
+            return False
+        out = fs.create(place, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
     if os.path.exists(path) and not overwrite:
         return False
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
