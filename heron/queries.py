@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from heron.operators import knowledge, relational, resolution, retrieval, statements
+from heron.operators import ann, knowledge, relational, resolution, retrieval, statements
 from heron.operators.catalogue import COVERS, ORACLE_SQL, QUERIES
 from heron.streaming import windows
 
-__all__ = ["COVERS", "ORACLE_SQL", "QUERIES", "knowledge", "relational", "resolution", "retrieval", "statements", "windows"]
+__all__ = ["COVERS", "ORACLE_SQL", "QUERIES", "ann", "knowledge", "relational", "resolution", "retrieval", "statements", "windows"]
