@@ -46,6 +46,8 @@ HEAVY = 32
 #: Tokens that are scored at once; it doesn't change what is learnt.
 SLICE = 8192
 BUCKET_WORDS = 1_000_000
+#: Bits of a hash by which words are looked up.
+BEGIN = 20
 #: Rows of weights that are averaged together, tasks whose changes are averaged before they meet others.
 BLOCK, TOGETHER = 4096, 64
 
@@ -127,6 +129,8 @@ class Vocabulary:
         self.head = int((counts >= LEARNED).sum())
         order = np.argsort(hashes)
         self.by_hash, self.place = hashes[order], order.astype(np.int32)
+        # where the hashes of each beginning stand
+        self.begin = np.searchsorted(self.by_hash >> np.uint64(64 - BEGIN), np.arange((1 << BEGIN) + 1, dtype=np.uint64)).astype(np.int32)
         # training tokens and distinct words by shape, without the head
         rest = shape_totals.copy()
         np.subtract.at(rest, (0, shapes[: self.head]), counts[: self.head])
@@ -145,10 +149,18 @@ class Vocabulary:
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 if it isn't among the most frequent."""
-        if not len(self.by_hash):
-            return np.full(len(hashes), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.by_hash, hashes), len(self.by_hash) - 1)
-        return np.where(self.by_hash[at] == hashes, self.place[at], -1)
+        out = np.full(len(hashes), -1, np.int32)
+        top = (hashes >> np.uint64(64 - BEGIN)).astype(np.int64)
+        at, end = self.begin.take(top), self.begin.take(top + 1)
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], hashes[left]
+        while len(left):
+            hit = self.by_hash.take(at) == wanted
+            out[left[hit]] = self.place.take(at[hit])
+            at += 1
+            on = np.flatnonzero(~hit & (at < end))
+            left, at, end, wanted = left[on], at[on], end[on], wanted[on]
+        return out
 
     def leaves_of(self, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         return np.where((places >= 0) & (places < self.head), places, self.head + shapes_of(hashes))
@@ -177,19 +189,23 @@ class Model:
         salt = np.asarray(node, np.uint32) * _NODE
         return [((f + salt) * _ROW) >> shift for f in features]
 
-    def probabilities(self, rows: list[np.ndarray], node) -> np.ndarray:
-        """Softmax over the children of a node, or of one node each."""
+    def exponents(self, rows: list[np.ndarray], node) -> tuple[np.ndarray, np.ndarray]:
+        """Softmax over the children of a node, or of one node each, before the division by the sums."""
         logits = self.weights.take(rows[0], axis=0)
         for r in rows[1:]:
             logits += self.weights.take(r, axis=0)
-        logits += self.vocabulary.priors[node - self.vocabulary.leaves]
+        logits += self.vocabulary.priors[node - self.vocabulary.leaves] if np.ndim(node) == 0 else self.vocabulary.priors.take(node - self.vocabulary.leaves, axis=0)
         e = np.exp(logits)
         total = e @ np.ones(FAN, np.float32)
         if not (np.isfinite(total).all() and (total > 1e-30).all()):
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             total = e.sum(axis=1)
-        e /= total[:, None]
-        return e
+        return e, total
+
+    def chosen(self, rows: list[np.ndarray], node, child: np.ndarray) -> np.ndarray:
+        """Probabilities of one child each."""
+        e, total = self.exponents(rows, node)
+        return e[np.arange(len(e)), child].astype(np.float64) / total
 
     def log10(self, tokens: Tokens, leaves: np.ndarray) -> np.ndarray:
         """log10 probability of each token; of a word without a leaf, without its count inside its shape."""
@@ -198,12 +214,10 @@ class Model:
         for lo in range(0, len(leaves), SLICE):
             own = leaves[lo : lo + SLICE]
             features = [f[lo : lo + SLICE] for f in tokens.features]
-            p = self.probabilities(self.rows(features[:AT_ROOT], v.root), v.root)
-            logs = np.log10(p[np.arange(len(own)), v.top[own]].astype(np.float64))
+            p = self.chosen(self.rows(features[:AT_ROOT], v.root), v.root, v.top[own])
             for at, node, child in v.above(own):
-                p = self.probabilities(self.rows([f[at] for f in features[:BELOW]], node), node)
-                logs[at] += np.log10(p[np.arange(len(at)), child].astype(np.float64))
-            out[lo : lo + SLICE] = logs
+                p[at] *= self.chosen(self.rows([f.take(at) for f in features[:BELOW]], node), node, child)
+            out[lo : lo + SLICE] = np.log10(p)
         rest = leaves >= v.head
         out[rest] += v.log_share[leaves[rest] - v.head]
         return out
@@ -253,7 +267,8 @@ class Trainer:
 
     def _towards(self, features, node, child) -> None:
         rows = self.model.rows(features, node)
-        p = self.model.probabilities(rows, node)
+        p, total = self.model.exponents(rows, node)
+        p /= total[:, None]
         p[np.arange(len(p)), child] -= 1
         self._apply(rows, p)
 
@@ -263,7 +278,7 @@ class Trainer:
         features = [f[part] for f in tokens.features]
         self._towards(features[:AT_ROOT], v.root, v.top[own])
         for at, node, child in v.above(own):
-            self._towards([f[at] for f in features[:BELOW]], node, child)
+            self._towards([f.take(at) for f in features[:BELOW]], node, child)
 
     def learn(self, tokens: Tokens) -> None:
         v = self.model.vocabulary
