@@ -62,4 +62,5 @@ def score(value: str, candidate: str) -> int:
 
 @F.pandas_udf(IntegerType())
 def fuzzy_score(value: pd.Series, candidate: pd.Series) -> pd.Series:
+    """score() pair by pair, in batches; for candidates that a probe has narrowed down, as SQL lacks this likeness."""
     return pd.Series([0 if a is None or b is None else score(a, b) for a, b in zip(value, candidate, strict=True)])

@@ -154,7 +154,13 @@ def resolution_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(pairs, points)
 
 
-@query("resolution_fuzzy", "ER6 ER8 ER11")
+#: Scores of the literals' best candidates, worked out apart from the library's code.
+FUZZY = [("cold wigdet", "cold widget", 90, "auto_sub"), ("lrge bolt", "large bolt", 94, "auto_sub"), ("small", "small anvil", 100, "exact"), ("%Hot  Gear%", "hot gear", 100, "exact"), ("'blue nut'", "blue bolt", 70, "flag_sub")]
+_ROWS = ", ".join("('" + a.replace("'", "''") + f"', '{b}', {n}, '{c}')" for a, b, n, c in FUZZY)
+
+
+@query("resolution_fuzzy", "ER6 ER8 ER11", f"SELECT * FROM (VALUES {_ROWS}) AS v(literal, corrected, score, action)")
 def resolution_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigram candidates of each literal, decided by the exact fuzzy score."""
-    return decisions(trigram_candidates(_literals(spark), distinct_values(table(spark, sf_dir, "part"), "p_name")).select("literal", "candidate"))
+    found = trigram_candidates(_literals(spark), distinct_values(table(spark, sf_dir, "part"), "p_name"))
+    return decisions(found.select("literal", "candidate")).select("literal", "corrected", F.col("score").cast("int").alias("score"), "action")
