@@ -102,9 +102,14 @@ _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(l
 _SIM = f"len(list_intersect({_TRI.format(x='probe')}, {_TRI.format(x='candidate')}))::double / len(list_distinct(list_concat({_TRI.format(x='probe')}, {_TRI.format(x='candidate')})))"
 
 
-@query("clean_literals", "ER2", f"WITH {_L} SELECT literal, probe FROM l")
+_WRITTEN = "' ''%' || p_name || '% \"'"
+
+
+@query("clean_literals", "ER2", f"SELECT p_partkey, {_WRITTEN} AS literal, trim(regexp_replace({_WRITTEN}, '^[\\s''\"%]+|[\\s''\"%]+$', '', 'g')) AS probe FROM part")
 def clean_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark).select("literal", clean_literal(F.col("literal")).alias("probe"))
+    """Names of parts, written as literals with quotes and wildcards around them."""
+    written = F.concat(F.lit(" '%"), F.col("p_name"), F.lit('% "')).alias("literal")
+    return table(spark, sf_dir, "part").select("p_partkey", written).select("p_partkey", "literal", clean_literal(F.col("literal")).alias("probe"))
 
 
 @query(

@@ -217,12 +217,14 @@ def elbow_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elbow(ranked).select("key", "score", "rank", "protected")
 
 
-_STORE = """(VALUES ('fact_lines', 'CREATE TABLE fact_lines (x int REFERENCES dim_orders (id), y int references dim_parts(id))', 'dim_orders', 'dim_suppliers'),
-  ('dim_orders', 'see REFERENCES dim_customers (id)', 'dim_customers', 'fact_lines'), ('dim_customers', 'plain', NULL, 'dim_nations'), ('dim_parts', 'plain', NULL, NULL), ('dim_suppliers', 'plain', 'dim_nations', NULL), ('dim_nations', 'plain', NULL, NULL)) AS s(name, content, fk, related)"""
+#: Pages of a store, made from the parts: keys, related pages and references in the text name other parts.
+_PAGES = """SELECT 't' || p_partkey AS name, p_name || ' REFERENCES t' || p_size || ' (id), references T' || (p_partkey + 1) || '(id)' AS content,
+    CASE WHEN p_size > 25 THEN 't' || p_size END AS fk, CASE WHEN p_size <= 40 THEN 't' || (p_partkey + 2) END AS related FROM {part}"""
+_STORE = f"({_PAGES.format(part='part')}) AS s"
 
 
-def _store(spark: SparkSession) -> DataFrame:
-    rows = spark.sql(f"SELECT * FROM VALUES {_STORE[1:].replace('(VALUES ', '').replace('VALUES ', '', 1).replace(')) AS', ') AS')}")
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_PAGES, part=table(spark, sf_dir, "part"))
     fk = F.when(F.col("fk").isNotNull(), F.array(F.struct(F.lit("id").alias("column"), F.col("fk").alias("ref_table"), F.lit("id").alias("ref_column"))))
     return rows.select("name", "content", fk.alias("fk_to"), F.when(F.col("related").isNotNull(), F.array("related")).alias("related_tables"), F.lit(False).alias("is_entry_point"))
 
@@ -234,10 +236,10 @@ _EDGES = f"""e AS (SELECT name AS source, target, min(position) AS position FROM
 
 @query("fk_references", "RET11", f"WITH {_EDGES} SELECT source, target, cast(position AS integer) AS position FROM e")
 def fk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references(_store(spark)).select("source", "target", "position")
+    return references(_store(spark, sf_dir)).select("source", "target", "position")
 
 
-_RANKED = "(VALUES (1, 'fact_lines', 0.9::double), (2, 'dim_orders', 0.8::double), (3, 'dim_parts', 0.3::double), (4, 'dim_nations', 0.2::double)) AS k(rank, name, score)"
+_RANKED = "(VALUES (1, 't1', 0.9::double), (2, 't2', 0.8::double), (3, 't3', 0.3::double), (4, 't4', 0.2::double)) AS k(rank, name, score)"
 
 
 @query(
@@ -248,8 +250,8 @@ _RANKED = "(VALUES (1, 'fact_lines', 0.9::double), (2, 'dim_orders', 0.8::double
     SELECT * FROM (SELECT * FROM x WHERE NOT expanded ORDER BY rank LIMIT 3) UNION ALL SELECT * FROM x WHERE expanded""",
 )
 def fk_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _store(spark)
-    ranked = spark.createDataFrame([(1, "fact_lines", 0.9), (2, "dim_orders", 0.8), (3, "dim_parts", 0.3), (4, "dim_nations", 0.2)], "rank int, name string, score double")
+    store = _store(spark, sf_dir)
+    ranked = spark.createDataFrame([(1, "t1", 0.9), (2, "t2", 0.8), (3, "t3", 0.3), (4, "t4", 0.2)], "rank int, name string, score double")
     return final_cut(expand_foreign_keys(ranked, references(store), store))
 
 

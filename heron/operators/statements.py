@@ -18,7 +18,7 @@ from heron.operators.catalogue import query
 from heron.operators.resolution import distinct_values
 from heron.plans import dialect as dialects
 from heron.plans import prompts, providers
-from heron.plans.answer import execute
+from heron.plans.answer import execute, retrieve
 from heron.plans.patch import entities, patched, patched_by_writer, resolve, trigrams_available
 from heron.plans.verify import executable, formatted, parsed_review, tables_of, verify
 from heron.session import shared_folder
@@ -461,6 +461,18 @@ def kb_build_and_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.status().drop("updated_at").join(again.select("file_path", F.col("status").alias("again")), "file_path")
 
 
+@query("retrieved_context", "RET17 RET8")
+def retrieved_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the whole retrieval finds for a question in the pages of all tables: routes, variants, tables, citations."""
+    folder = f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}"
+    generate(spark, sf_dir, f"{folder}/pages")
+    store, embedder = Store(spark, f"{folder}/store"), providers.HashingEmbedder()
+    build(spark, f"{folder}/pages", store, embedder)
+    found = retrieve(spark, store, "how many orders has each customer", embedder)
+    parts = {"section": found.sections, "variant": found.variants, "table": [t["file_path"] for t in found.tables], "entry": [e["file_path"] for e in found.entry_points], "citation": [c.path for c in found.citations]}
+    return of_rows(spark, "part position value", [(k, i, v) for k, vs in parts.items() for i, v in enumerate(vs)])
+
+
 @query("result_table", "SNK4", listed("position line", [(0, "r_regionkey | r_name"), (1, "------------+-------"), (2, "0           | AFRICA"), (3, "1           | NULL"), (4, "(2 rows)")]))
 def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").filter("r_regionkey < 2").orderBy("r_regionkey")

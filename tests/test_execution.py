@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heron.functions.text import count_of, count_of_all, spaced, tokens
+from heron.operators import statements
 from heron.plans import dialect, providers
 from heron.plans.answer import answer, execute
 from heron.plans.patch import trigrams_available
@@ -29,7 +30,7 @@ def test_failures_at_run_time_are_messages(spark, tables):
     tables["sales"].createOrReplaceTempView("sales")
     ok, result = execute(spark, "SELECT kind FROM sales")
     assert ok and sorted(r[0] for r in result.collect()) == ["a", "b"]
-    for sql, part in (("SELECT raise_error(kind) FROM sales", "a"), ("SELECT CAST(kind AS INT) FROM sales", "CAST_INVALID_INPUT"), ("SELECT nothing FROM sales", "UNRESOLVED_COLUMN")):
+    for sql, part in (("SELECT raise_error(kind) FROM sales", "USER_RAISED_EXCEPTION"), ("SELECT CAST(kind AS INT) FROM sales", "CAST_INVALID_INPUT"), ("SELECT nothing FROM sales", "UNRESOLVED_COLUMN")):
         ok, message = execute(spark, sql)
         assert not ok and isinstance(message, str) and part in message
 
@@ -104,3 +105,12 @@ def test_spaced_tokens_count_as_tokens_do(spark):
     held, all_ = spaced(F.col("t")), tokens(F.col("t"))
     for r in rows.select(count_of("a", held).alias("n"), F.size(F.filter(all_, lambda x: x == "a")).alias("m"), count_of_all(held).alias("all"), F.size(all_).alias("size")).collect():
         assert r["n"] == r["m"] and r["all"] == r["size"]
+
+
+def test_the_whole_retrieval_finds_the_tables_asked_for(spark):
+    rows = statements.retrieved_context(spark, "/root/testdata/sf0.001").collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r["part"], []).append(r["value"])
+    assert parts["section"] == ["ddl"] and parts["variant"][0] == "how many orders has each customer" and parts["entry"] == ["ddl/KB.md"]
+    assert {"ddl/orders.md", "ddl/customer.md"} & set(parts["table"]) and set(parts["citation"]) >= set(parts["table"])
