@@ -8,7 +8,7 @@ the one before that (skip), and at the root both (trigram). All words of the RAN
 times have leaves of their own; the others share leaves by shape, inside which a word has its smoothed share of training tokens.
 
 What is learnt grows with the input: leaves with the words that occur often enough, up to RANKED; weight rows with
-the training tokens, one for each ROW_TOKENS, up to 2^MOST_BITS, which bounds what is broadcast; counts with all words.
+the third root of the training tokens, up to 2^MOST_BITS, which bounds what is broadcast to 64 MB; counts with all words.
 
 Training goes over all training documents once, in ROUNDS: in a round each task takes its part of the documents through
 minibatch gradient steps from the common weights, and the steps of all tasks are averaged, row by row, by how often a
@@ -38,8 +38,8 @@ START = np.uint64(0x3C6EF372FE94F82B)
 RANKED, LEARNED, SHAPES, FAN = 200_000, 64, 16, 16
 #: Features of the root and of other nodes; the first ones of bigram, skip, trigram.
 AT_ROOT, BELOW = 3, 2
-#: Training tokens for a row of weights; rows are 2^LEAST_BITS to 2^MOST_BITS.
-ROW_TOKENS, LEAST_BITS, MOST_BITS = 16, 12, 17
+#: Rows of weights: 2^ROW_BITS times the third root of the training tokens, from 2^LEAST_BITS to 2^MOST_BITS of them.
+ROW_BITS, LEAST_BITS, MOST_BITS = 10, 12, 20
 ROUNDS, BATCH, RATE = 3, 4096, 0.6
 #: Occurrences of a row in a minibatch from which they are summed by themselves.
 HEAVY = 32
@@ -145,7 +145,7 @@ class Vocabulary:
                 top[i] = top[self.parent[i]]
         own = self.parent[: self.leaves]
         self.top = np.where(own == self.root, self.slot[: self.leaves], self.slot[top[own]])
-        self.bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, n / ROW_TOKENS))))))
+        self.bits = int(min(MOST_BITS, max(LEAST_BITS, ROW_BITS + np.log2(max(1, n)) / 3)))
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 if it isn't among the most frequent."""
