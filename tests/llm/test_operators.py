@@ -630,3 +630,19 @@ def test_all_rows_alike(spark):
     assert repeats.repeated_spans(df).filter("n_removed = n_bytes").count() == 299
     assert sharding.shuffle_into_shards(df).groupBy("shard").count().filter("count NOT IN (37, 38)").isEmpty()
     assert packing.packed(df).select("bucket").distinct().count() == 1
+
+
+def test_rows_that_tell_nothing_apart_are_spread(spark, monkeypatch):
+    """Rows without doc_id and of one text: no part, cell or bucket gets them all."""
+    for module in (sharding, packing):
+        monkeypatch.setattr(module, "CELL_ROWS", 20)
+    frames = []
+    ranked = sharding.gapless_rank
+    for module in (sharding, packing):
+        monkeypatch.setattr(module, "gapless_rank", lambda df, group, cell, *rest: (frames.append(df.groupBy(*group, cell).count().agg(F.max("count")).first()[0]), ranked(df, group, cell, *rest))[1])
+    df = frame(spark, [(None, "the same text")] * 800)
+    got = sharding.shuffle_into_shards(df).toPandas()
+    assert set(got.groupby("shard").size()) == {100} and all(sorted(x.slot) == list(range(100)) for _, x in got.groupby("shard"))
+    packed = packing.packed(df, 4, 30).toPandas()
+    assert len(packed) == 800 and packed.groupby("batch").size().max() == 10
+    assert max(frames) < 80
