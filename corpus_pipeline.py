@@ -39,7 +39,10 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
     repeated = docs.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
         return docs.withColumn(row, F.col("doc_id").cast("long")), row
-    return cut(docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn(row, F.monotonically_increasing_id())), row
+    # rows alike in both are parted by their place, so that many of them don't meet in one task
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text"), F.col(row)]
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    return cut(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id())), row
 
 
 def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
