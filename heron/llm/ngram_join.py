@@ -188,9 +188,13 @@ def _shingles(seed: int, hot, buckets: int):
             h = np.concatenate(sets)
             node = np.repeat(np.array(nodes, np.int64), [len(s) for s in sets])
             is_hot, at = hot.value.find(h)
-            bucket = np.where(is_hot, _bucket_of_node(node, buckets), _bucket_of_shingle(h, buckets))
-            rank = np.where(is_hot, hot.value.rank[at] + HOT_RANK, 0).astype(np.uint32) if is_hot.any() else np.zeros(len(h), np.uint32)
-            yield _dealt(bucket, node, buckets, ["h", "count"], [h, rank])
+            if is_hot.any():
+                rank = np.where(is_hot, hot.value.rank[at] + HOT_RANK, 0).astype(np.uint32)
+                bucket = np.where(is_hot, _bucket_of_node(node, buckets), _bucket_of_shingle(h, buckets))
+                yield _dealt(bucket, node, buckets, ["h", "count"], [h, rank])
+            else:  # no ranks to tell
+                out = _dealt(_bucket_of_shingle(h, buckets), node, buckets, ["h"], [h])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.binary())], [*out.schema.names, "count"])
 
     return run
 
@@ -204,7 +208,7 @@ def _counted(buckets: int):
             for i in range(batch.num_rows):
                 _, node, local, h, count = (c[i].as_py() for c in batch.columns)
                 h = np.frombuffer(h, np.uint64)
-                for k, x in enumerate((h, _nodes(node, local, len(h)), np.frombuffer(count, np.uint32))):
+                for k, x in enumerate((h, _nodes(node, local, len(h)), np.zeros(len(h), np.uint32) if count is None else np.frombuffer(count, np.uint32))):
                     held[k].append(x)
         if not held[0]:
             return
