@@ -309,7 +309,7 @@ def later_windows(texts: list[bytes], order: np.ndarray, at: np.ndarray) -> tupl
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
     begins = np.cumsum(lengths + 1) - lengths - 1
     data[begins + lengths] = 0
-    sa = suffix_array(data, 257, WINDOW)
+    sa = suffix_array(data, 257)
     prefix = permuted_common_prefixes_of(data, sa)
     stretch = np.repeat(np.arange(len(texts)), lengths + 1)
     inside = np.arange(len(data)) - begins[stretch]

@@ -1,10 +1,14 @@
-"""Suffix arrays by induced sorting, vectorised over the buckets of first symbols."""
+"""Suffix arrays by induced sorting, vectorised in waves of the scan."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
+#: Places of a scan up to which a wave isn't worth its fixed work.
+SHORT = 48
+
+
 def classify(t: np.ndarray) -> np.ndarray:
     """True for suffixes that are smaller than their right neighbour; past the end stands a smallest symbol."""
     n = len(t)
@@ -18,86 +22,76 @@ def classify(t: np.ndarray) -> np.ndarray:
     return smaller[at]
 
 
-def _by_symbol(symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by symbol, rank of each within its symbol, and counts."""
+def _dealt(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stable order by symbol, the rank of each within its symbol, and the distinct symbols with their counts."""
     order = np.argsort(symbols, kind="stable")
-    counts = np.bincount(symbols, minlength=size)
     ordered = symbols[order]
-    rank = np.arange(len(symbols)) - (np.cumsum(counts) - counts)[ordered]
-    return order, rank, counts
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    counts = np.diff(first, append=len(ordered))
+    return order, np.arange(len(ordered)) - np.repeat(first, counts), ordered[first], counts
+
+
+def _scanned(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, free: np.ndarray, step: int) -> None:
+    """The scan of induced sorting: each suffix in sa, in order, puts the one before it at the free place of its bucket.
+
+    `wanted` tells the suffixes to be put, `free` the next free place of each bucket, step 1 fills buckets forwards and
+    scans from the left, -1 backwards and from the right. The scan goes in waves: as many places at once as none of
+    their own suffixes goes to. Small alphabets take about a wave a bucket, large ones about the root of the length.
+    """
+    n = len(sa)
+    at, size = 0, 2 * SHORT
+    line = sa if step > 0 else sa[::-1]  # a view, in the order of the scan
+    while at < n:
+        before = line[at : at + size] - 1
+        sends = np.flatnonzero(before >= 0)
+        sends = sends[wanted[before[sends]]]
+        if not len(sends):
+            at += len(before)
+            continue
+        places = before[sends]
+        goes = free[t[places]]  # or further on
+        goes = goes if step > 0 else n - 1 - goes
+        least = np.minimum.accumulate(goes)
+        # up to the first place that one before it in the wave goes to
+        late = np.flatnonzero(least[:-1] <= at + sends[1:])
+        stop = int(least[late[0]] - at) if len(late) else min(len(before), int(least[-1] - at))
+        count = int(np.searchsorted(sends, stop))
+        places = places[:count]
+        if count == 1:
+            c = t[places[0]]
+            sa[free[c]] = places[0]
+            free[c] += step
+        elif count:
+            order, rank, symbols, counts = _dealt(t[places])
+            sa[np.repeat(free[symbols], counts) + step * rank] = places[order]
+            free[symbols] += step * counts
+        at += stop
+        if stop < SHORT:  # a few places one by one, then a wave is tried again
+            for k in range(at, min(n, at + SHORT)):
+                i = line[k] - 1
+                if i >= 0 and wanted[i]:
+                    c = t[i]
+                    sa[free[c]] = i
+                    free[c] += step
+            at += SHORT
+        size = min(1 << 16, max(2 * SHORT, 2 * stop))
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     """The order of all suffixes that follows from the order of the leftmost-smaller ones."""
     n = len(t)
     sa = np.full(n, -1, np.int32)
-    counts = np.bincount(t, minlength=size)
-    ends = np.cumsum(counts)
-    begins = ends - counts
-    # leftmost-smaller suffixes stand at the ends of their buckets, in order
-    order, rank, each = _by_symbol(t[lms], size)
-    symbols = t[lms][order]
-    sa[ends[symbols] - each[symbols] + rank] = lms[order]
-    tails = ends - each
-
-    head = begins.copy()
-
-    def append(places: np.ndarray) -> None:
-        symbols = t[places]
-        if len(places) == 1:
-            sa[head[symbols[0]]] = places[0]
-            head[symbols[0]] += 1
-            return
-        order, rank, each = _by_symbol(symbols, size)
-        symbols = symbols[order]
-        sa[head[symbols] + rank] = places[order]
-        head[:] += each
-
-    append(np.array([n - 1]))
-    present = np.flatnonzero(counts)
-    for c in present.tolist():
-        lo = int(begins[c])
-        while lo < (hi := int(head[c])):  # rounds: runs of one symbol
-            before = sa[lo:hi] - 1
-            before = before[before >= 0]
-            before = before[~small[before]]
-            lo = hi
-            if len(before):
-                append(before)
-        if tails[c] < ends[c]:
-            before = sa[tails[c] : ends[c]] - 1
-            before = before[before >= 0]
-            before = before[~small[before]]
-            if len(before):
-                append(before)
-    tail = ends.copy()
-
-    def prepend(places: np.ndarray) -> None:
-        symbols = t[places]
-        if len(places) == 1:
-            tail[symbols[0]] -= 1
-            sa[tail[symbols[0]]] = places[0]
-            return
-        order, rank, each = _by_symbol(symbols, size)
-        symbols = symbols[order]
-        sa[tail[symbols] - 1 - rank] = places[order]
-        tail[:] -= each
-
-    for c in present[::-1].tolist():
-        hi = int(ends[c])
-        while (lo := int(tail[c])) < hi:
-            before = sa[lo:hi][::-1] - 1
-            before = before[before >= 0]
-            before = before[small[before]]
-            hi = lo
-            if len(before):
-                prepend(before)
-        if begins[c] < head[c]:
-            before = sa[begins[c] : head[c]][::-1] - 1
-            before = before[before >= 0]
-            before = before[small[before]]
-            if len(before):
-                prepend(before)
+    ends = np.cumsum(np.bincount(t, minlength=size))
+    begins = np.concatenate([[0], ends[:-1]])
+    if len(lms):  # they stand at the ends of their buckets, in order
+        order, rank, symbols, counts = _dealt(t[lms])
+        sa[np.repeat(ends[symbols] - counts, counts) + rank] = lms[order]
+    free = begins.copy()
+    # the last suffix is larger than what follows it, and nothing puts it
+    sa[free[t[n - 1]]] = n - 1
+    free[t[n - 1]] += 1
+    _scanned(sa, t, ~small, free, 1)
+    _scanned(sa, t, small, ends - 1, -1)
     return sa
 
 
@@ -121,30 +115,11 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, ordered: np.ndarra
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def _ranked(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first `depth` names; ties by place."""
-    rank, step = names.astype(np.int64), 1
-    while True:
-        follow = np.zeros(len(rank), np.int64)
-        follow[:-step] = rank[step:] + 1
-        key = rank * (rank.max() + 2) + follow
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = fresh
-        step *= 2
-        if fresh[-1] + 1 == len(rank) or step >= min(depth, len(rank)):
-            return order
-
-
-def suffix_array(t: np.ndarray, size: int, depth: int) -> np.ndarray:
-    """Suffixes of t (symbols below size) in the order of their first `depth` symbols at least.
+def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
+    """Suffixes of t (symbols below size) in order.
 
     Classify suffixes, sort the leftmost-smaller substrings by one induction and name them, sort the string of names
-    in turn, and induce all suffixes linearly. Names are sorted by another such pass while their alphabet is small,
-    and by doubling beyond, where buckets are too many to be vectors; as every name stands for one symbol at least,
-    `depth` names suffice.
+    by another such pass if names repeat, and induce all suffixes linearly.
     """
     n = len(t)
     if n <= 1:
@@ -161,12 +136,7 @@ def suffix_array(t: np.ndarray, size: int, depth: int) -> np.ndarray:
         if names[-1] + 1 < len(lms):
             place = np.empty(n, np.int32)
             place[ordered] = names
-            reduced = place[lms]
-            if names[-1] < 512:
-                order = suffix_array(reduced.astype(np.uint16), int(names[-1]) + 1, depth)
-            else:
-                order = _ranked(reduced, depth)
-            ordered = lms[order]
+            ordered = lms[suffix_array(place[lms], int(names[-1]) + 1)]
         lms = ordered
     return _induce(t, small, lms, size)
 

@@ -301,7 +301,7 @@ def test_suffix_array(text, times):
     data = (text * times).encode()
     t = np.frombuffer(data, np.uint8)
     want = sorted(range(len(data)), key=lambda i: data[i:])
-    sa = suffix_array(t, 256, 10**6)
+    sa = suffix_array(t, 256)
     assert sa.tolist() == want
     prefix = permuted_common_prefixes(t, sa, 100)
     for a, b in itertools.pairwise(want):
@@ -309,6 +309,23 @@ def test_suffix_array(text, times):
         assert prefix[b] == n
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=300), st.integers(1, 3), st.integers(0, 2**31))
+def test_suffix_arrays_of_large_alphabets(symbols, times, seed):
+    """As names in the recursion are: many symbols, repeats, and long runs of one symbol."""
+    t = np.array(symbols * times + [symbols[0]] * (seed % 40), np.int32)
+    assert suffix_array(t, 301).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_suffix_arrays_recurse_at_every_alphabet():
+    r = np.random.default_rng(3)
+    words_ = [r.integers(97, 123, int(n), dtype=np.uint8) for n in r.integers(2, 9, 3000)]
+    t = np.concatenate([words_[i] for i in r.integers(0, 3000, 12_000)])
+    sa = suffix_array(t, 256)
+    data = t.tobytes()
+    assert sorted(sa.tolist()) == list(range(len(t))) and all(data[a : a + 200] <= data[b : b + 200] for a, b in itertools.pairwise(sa.tolist()))
+
+
 def test_equal_windows_have_equal_anchors():
     r = random.Random(7)
     passage = "".join(r.choice("abcdef ") for _ in range(150))
