@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from heron.functions.text import count_of, count_of_all, spaced, tokens
 from heron.functions.vectors import cosine, of_dimension, serialised
 from heron.operators.catalogue import query, sql_query
+from heron.session import materialised
 from heron.tables import table
 
 RRF_K, PER_LIST, CANDIDATES, TOP_K = 60, 20, 10, 3
@@ -41,6 +42,7 @@ def bm25(docs: DataFrame, terms: list[str], k: int | None = PER_LIST) -> DataFra
     """(key, score) of the documents (key, text) that hold any of the terms, by BM25."""
     held = F.col("t")
     counted = docs.withColumn("t", spaced(F.coalesce("text", F.lit("")))).select("key", count_of_all(held).alias("dl"), *[count_of(w, held).alias(f"tf{i}") for i, w in enumerate(terms)])
+    counted = materialised(counted)  # a few numbers a document, used twice; else texts are read twice, and once more for each term of the filter
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counted.filter(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
