@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import time
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from heron.session import shared_folder
 from heron.tables import table
 
 #: White space of the word pattern [^\x20\x09-\x0D]+ ; bytes.split() without arguments splits on the same bytes.
@@ -28,12 +28,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests), a temporary folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heron-checkpoint-"))
+    """Use the cluster's spark.checkpoint.dir; only a local master that names none (tests) gets a temporary folder."""
+    shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
