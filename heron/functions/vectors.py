@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +18,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def serialised(a: Column) -> Column:
-    """[x,y,...] with eight decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+    """[x,y,...] with eight decimals of the exact value, halves to even, as C's printf; Java's rounds halves up.
+
+    Null elements are left out; nothing but such gives null.
+    """
+
+    @F.pandas_udf("string")
+    def text(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else "[" + ",".join(["%.8f" % x for x in v.tolist()]) + "]" for v in vectors], dtype=object)
+
+    held = F.array_compact(a)
+    return F.when((F.size(held) > 0) | (F.size(a) == 0), text(held))
 
 
 def of_dimension(a: Column, n: int) -> Column:

@@ -67,3 +67,14 @@ def test_filters_reach_the_scan(spark):
 def test_either_key_join_has_no_nested_loop(spark):
     plan = queries.QUERIES["or_theta_join"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_vector_text_rounds_as_sql(spark, tmp_path):
+    """Halves at the ninth decimal, signs, large values, null elements, other lengths."""
+    odd = [k / 512 for k in (1, -3, 5, 7, 511)] + [0.0, -0.0, -1e-10, 1e20, 3.4e38, float("inf"), float("-inf"), float("nan"), None]
+    data = [(1, [*odd, *[0.25] * (64 - len(odd))]), (2, [None] * 64), (3, [0.5] * 63), (4, None), (5, []), (6, [1 / 512] * 64)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["vector_text"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows(got) == rows(con.sql(queries.ORACLE_SQL["vector_text"]).df()) and len(got) == 3
