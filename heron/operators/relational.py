@@ -113,6 +113,24 @@ sql_query(
 )
 
 
+#: Rows that a task of a spread join has on average, with both sides; rows of a side that go to every task at most.
+TASK_ROWS, SENT_ROWS = 500_000, 1_000_000
+
+
+def spread_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, rows: tuple[int, int], sent: int = SENT_ROWS) -> DataFrame:
+    """left and right where the keys are equal, in tasks whose rows don't grow with the tables; rows: of left and of right.
+
+    Up to `sent` rows of the right side are broadcast; else both sides are dealt by the key, to more partitions than
+    the session's where those would get more than TASK_ROWS each.
+    """
+    parts = sum(rows) // TASK_ROWS
+    if rows[1] <= sent:
+        right = F.broadcast(right)
+    elif parts > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(parts, left_key), right.repartition(parts, right_key)
+    return left.join(right, F.col(left_key) == F.col(right_key))
+
+
 def either_key_join(facts: DataFrame, left_key: str, right_key: str, dim: DataFrame, dim_key: str) -> DataFrame:
     """facts joined with dim where either key matches, each pair once: a union of two equi-joins in place of a nested loop."""
     first = facts.join(dim, F.col(left_key) == F.col(dim_key))
@@ -194,15 +212,29 @@ sql_query("select_distinct", "AG13", "lineitem", "SELECT DISTINCT l_returnflag,
 sql_query("two_stage_agg", "AG14", "orders", "WITH per AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT cast(n AS bigint) AS n_orders, cast(count(*) AS bigint) AS n_customers, round(avg(total) + 1e-9, 4) AS mean_total FROM per GROUP BY n")
 sql_query("stddev_consistency", "AG15 FN4", "events", "SELECT user_id, cast(count(*) AS bigint) AS n, round(avg(value) / nullif(stddev_samp(value), 0) * ln(count(*)), 6) AS consistency FROM {events} GROUP BY user_id HAVING count(*) >= 30 AND stddev_samp(value) > 0")
 sql_query("net_average", "AG16", "lineitem", "SELECT l_suppkey, round(avg(l_extendedprice) - avg(l_extendedprice * (1 - l_discount)) + 1e-9, 4) AS net FROM {lineitem} GROUP BY l_suppkey")
-sql_query(
+
+
+@query(
     "record_by_side",
     "AG18 JN4",
-    "lineitem orders customer supplier",
     """WITH meets AS (SELECT o.o_orderkey, c.c_nationkey AS home, s.s_nationkey AS away, sum(i.l_quantity) AS home_score, sum(i.l_extendedprice) / 1500 AS away_score
-      FROM {lineitem} i JOIN {orders} o ON o.o_orderkey = i.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {supplier} s ON s.s_suppkey = i.l_suppkey GROUP BY o.o_orderkey, c.c_nationkey, s.s_nationkey),
+      FROM lineitem i JOIN orders o ON o.o_orderkey = i.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = i.l_suppkey GROUP BY o.o_orderkey, c.c_nationkey, s.s_nationkey),
     sides AS (SELECT home AS team, home_score > away_score AS won FROM meets UNION ALL SELECT away AS team, away_score > home_score AS won FROM meets)
     SELECT team, cast(sum(CASE WHEN won THEN 1 ELSE 0 END) AS bigint) AS wins, cast(sum(CASE WHEN won THEN 0 ELSE 1 END) AS bigint) AS losses, round(avg(cast(CASE WHEN won THEN 1 ELSE 0 END AS double)) + 1e-9, 4) AS share FROM sides GROUP BY team""",
 )
+def record_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders, customers, suppliers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    n_lines, n_orders = lines.count(), orders.count()
+    lines = spread_join(lines, "l_suppkey", suppliers, "s_suppkey", (n_lines, suppliers.count()))
+    orders = spread_join(orders, "o_custkey", customers, "c_custkey", (n_orders, customers.count()))
+    # grouped where the join has put an order's lines; a union over the groups would make them twice
+    meets = spread_join(lines, "l_orderkey", orders, "o_orderkey", (n_lines, n_orders), sent=0).groupBy("o_orderkey", F.col("c_nationkey").alias("home"), F.col("s_nationkey").alias("away"))
+    scores = meets.agg(F.sum("l_quantity").alias("hs"), (F.sum("l_extendedprice") / 1500).alias("as"))
+    sides = scores.select(F.inline(F.array(F.struct(F.col("home").alias("team"), (F.col("hs") > F.col("as")).alias("won")), F.struct(F.col("away").alias("team"), (F.col("as") > F.col("hs")).alias("won")))))
+    won = F.when(F.col("won"), 1).otherwise(0)
+    return sides.groupBy("team").agg(F.sum(won).alias("wins"), F.sum(1 - won).alias("losses"), F.round(F.avg(won.cast("double")) + 1e-9, 4).alias("share"))
+
+
 sql_query("cube_rollup", "AG-ext", "orders", "SELECT o_orderstatus, o_orderpriority, cast(count(*) AS bigint) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 
 # ---- windows, sorts, limits

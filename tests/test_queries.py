@@ -78,3 +78,20 @@ def test_vector_text_rounds_as_sql(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert rows(got) == rows(con.sql(queries.ORACLE_SQL["vector_text"]).df()) and len(got) == 3
+
+
+def test_tasks_that_group_orders_do_not_grow(spark, duck, monkeypatch):
+    """Orders are grouped once, in as many partitions as the rows ask for; broadcast or dealt, the result is the same."""
+    from heron.operators import relational
+    from heron.tables import table
+
+    monkeypatch.setattr(relational, "TASK_ROWS", 500)
+    df = queries.QUERIES["record_by_side"](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    parts = (table(spark, DATA, "lineitem").count() + table(spark, DATA, "orders").count()) // 500
+    assert parts > 4 and "hashpartitioning(l_orderkey" in plan and plan.count(f", {parts}), REPARTITION_BY_NUM") == 2
+    assert plan.count("keys=[o_orderkey") <= 2 and rows(df.toPandas()) == rows(duck.sql(queries.ORACLE_SQL["record_by_side"]).df())
+    orders, customers = table(spark, DATA, "orders"), table(spark, DATA, "customer")
+    dealt = relational.spread_join(orders, "o_custkey", customers, "c_custkey", (orders.count(), customers.count()), sent=0)
+    sent = relational.spread_join(orders, "o_custkey", customers, "c_custkey", (orders.count(), customers.count()))
+    assert rows(dealt.toPandas()) == rows(sent.toPandas())
