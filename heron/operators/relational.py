@@ -131,6 +131,15 @@ def spread_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str
     return left.join(right, F.col(left_key) == F.col(right_key))
 
 
+def _meeting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order, customer and supplier, dealt by the order."""
+    lines, orders, customers, suppliers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    n_lines, n_orders = lines.count(), orders.count()
+    lines = spread_join(lines, "l_suppkey", suppliers, "s_suppkey", (n_lines, suppliers.count()))
+    orders = spread_join(orders, "o_custkey", customers, "c_custkey", (n_orders, customers.count()))
+    return spread_join(lines, "l_orderkey", orders, "o_orderkey", (n_lines, n_orders), sent=0)
+
+
 def either_key_join(facts: DataFrame, left_key: str, right_key: str, dim: DataFrame, dim_key: str) -> DataFrame:
     """facts joined with dim where either key matches, each pair once: a union of two equi-joins in place of a nested loop."""
     first = facts.join(dim, F.col(left_key) == F.col(dim_key))
@@ -145,8 +154,7 @@ def either_key_join(facts: DataFrame, left_key: str, right_key: str, dim: DataFr
     JOIN supplier s ON s.s_suppkey = i.l_suppkey JOIN nation n ON c.c_nationkey = n.n_nationkey OR s.s_nationkey = n.n_nationkey GROUP BY n.n_name""",
 )
 def or_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    lines = lines.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    lines = _meeting_lines(spark, sf_dir)
     # counts per pair of nations go through the join, not the lines
     pairs = lines.groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("n"))
     joined = either_key_join(pairs, "c_nationkey", "s_nationkey", table(spark, sf_dir, "nation"), "n_nationkey")
@@ -161,8 +169,7 @@ def or_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN nation n ON (c.c_nationkey = 3 AND n.n_nationkey = s.s_nationkey) OR (s.s_nationkey = 3 AND c.c_nationkey <> 3 AND n.n_nationkey = c.c_nationkey) GROUP BY ALL""",
 )
 def opponent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    lines = lines.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    lines = _meeting_lines(spark, sf_dir)
     home, away = F.col("c_nationkey"), F.col("s_nationkey")
     pairs = lines.filter((home == 3) | (away == 3)).groupBy(home.alias("home"), away.alias("away")).agg(F.count(F.lit(1)).alias("n"))
     # the arm decides the key, which makes it an equi-join
@@ -223,12 +230,8 @@ sql_query("net_average", "AG16", "lineitem", "SELECT l_suppkey, round(avg(l_exte
     SELECT team, cast(sum(CASE WHEN won THEN 1 ELSE 0 END) AS bigint) AS wins, cast(sum(CASE WHEN won THEN 0 ELSE 1 END) AS bigint) AS losses, round(avg(cast(CASE WHEN won THEN 1 ELSE 0 END AS double)) + 1e-9, 4) AS share FROM sides GROUP BY team""",
 )
 def record_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders, customers, suppliers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    n_lines, n_orders = lines.count(), orders.count()
-    lines = spread_join(lines, "l_suppkey", suppliers, "s_suppkey", (n_lines, suppliers.count()))
-    orders = spread_join(orders, "o_custkey", customers, "c_custkey", (n_orders, customers.count()))
     # grouped where the join has put an order's lines; a union over the groups would make them twice
-    meets = spread_join(lines, "l_orderkey", orders, "o_orderkey", (n_lines, n_orders), sent=0).groupBy("o_orderkey", F.col("c_nationkey").alias("home"), F.col("s_nationkey").alias("away"))
+    meets = _meeting_lines(spark, sf_dir).groupBy("o_orderkey", F.col("c_nationkey").alias("home"), F.col("s_nationkey").alias("away"))
     scores = meets.agg(F.sum("l_quantity").alias("hs"), (F.sum("l_extendedprice") / 1500).alias("as"))
     sides = scores.select(F.inline(F.array(F.struct(F.col("home").alias("team"), (F.col("hs") > F.col("as")).alias("won")), F.struct(F.col("away").alias("team"), (F.col("as") > F.col("hs")).alias("won")))))
     won = F.when(F.col("won"), 1).otherwise(0)
